@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from thermocline.functions.column_types import SPARK_TYPE, canonical_value, column_type
+from thermocline.operators.support import written
 
 RESCUE = "_rescued"
 
@@ -80,11 +81,11 @@ def latest_names(relation_columns: DataFrame) -> DataFrame:
 
     ``target_name`` follows renames to the latest schema and is null for a column removed on the
     way.  The chains are followed by pointer doubling: as many joins as the logarithm of the
-    longest history, none of them growing.
+    longest history, none of them growing; each step is written, so the plan doesn't double.
     """
-    schemas = announced_schemas(relation_columns)
+    schemas = written(announced_schemas(relation_columns), "schemas")
     steps = _successions(schemas)
-    both = _steps(schemas)
+    both = written(_steps(schemas), "schema-steps")
     kept = both.where(F.col("old").isNotNull() & F.col("new").isNotNull()).select("table_id", "lsn", F.col("name").alias("old_name"), F.col("name").alias("new_name"))
     renamed = _moved(both).where(F.col("old_name").isNotNull() & F.col("new_name").isNotNull()).select("table_id", "lsn", "old_name", "new_name")
     moves = kept.unionByName(renamed).select("table_id", F.col("lsn").alias("next_lsn"), F.col("old_name").alias("name"), "new_name")
@@ -93,6 +94,7 @@ def latest_names(relation_columns: DataFrame) -> DataFrame:
     hop = hop.select("table_id", "relation_lsn", "name", F.coalesce("next_lsn", "relation_lsn").alias("to_lsn"), F.when(F.col("next_lsn").isNull(), F.col("name")).otherwise(F.col("new_name")).alias("to_name"))
     most = steps.groupBy("table_id").count().agg(F.max("count")).first()[0] or 1
     for _ in range(max(0, (most - 1).bit_length())):
+        hop = written(hop, "schema-hops")
         onward = hop.select("table_id", F.col("relation_lsn").alias("to_lsn"), F.col("name").alias("to_name"), F.col("to_lsn").alias("l2"), F.col("to_name").alias("n2"))
         hop = hop.join(onward, ["table_id", "to_lsn", "to_name"], "left").select("table_id", "relation_lsn", "name", F.coalesce("l2", "to_lsn").alias("to_lsn"), F.col("n2").alias("to_name"))
     return hop.select("table_id", "relation_lsn", "name", F.col("to_name").alias("target_name"))
