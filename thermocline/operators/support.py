@@ -39,8 +39,9 @@ def small_side(df: DataFrame) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of ``df``."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Size of what ``df`` reads: the estimates of the leaves of its plan (those of joins multiply their sides)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def partitions_for(df: DataFrame, bytes_each: int, expansion: float = 1.0) -> int:
