@@ -58,15 +58,39 @@ _QUOTED_LINE = re.compile(r"^[ \t]*[>|]")
 _MACHINE_LINE = re.compile(
     r"^\s*(?:(?:ERR|WARN|INFO|DEBUG|FATAL|TRACE|SELECT|INSERT|UPDATE|DELETE|at|File|Traceback|Caused by|Exception)\b.*[_./:=(].*|/[\w.\-]+/.*|[\w.\-]+ ?= ?\S+|\d{4}-\d\d-\d\d[ T]\d\d:.*|\{.*\}|\[?\w+(?:[._]\w+)+\]?.*[=:].*)$"
 )
+# what line wrapping left of machine text: identifiers, assignments, paths and bare keywords
+_MACHINE_TOKEN = re.compile(r"\S*(?:\w_\w|[={}\\]|\w/\w|\w\.\w|^/\w)\S*|\b(?:SELECT|FROM|WHERE|ERR|WARN|DEBUG|Exception:)(?=\s|$)")
+
+
+def _without_quoted_lines(text: str) -> str:
+    """Without lines that begin with a reply mark; what they close beyond what they open stays closed."""
+    out = []
+    for line in text.split("\n"):
+        if _QUOTED_LINE.match(_TAG.sub("", line)) or _QUOTED_LINE.match(line):
+            tags = [m[0] for m in _QUOTE_OPEN_CLOSE.finditer(line)]
+            surplus = sum(1 if "/" in t[:2] else -1 for t in tags)
+            line = "[/quote]" * max(0, surplus)
+        out.append(line)
+    return "\n".join(out)
 
 
 def _without_quotes(text: str) -> str:
+    """Without bracketed quotes, nested ones included.  Where a shortened quote lost closing tags, the last one closes all."""
+    tags = list(_QUOTE_OPEN_CLOSE.finditer(text))
+    closing = [bool(m[1] or m[2]) for m in tags]
+    short = closing.count(False) > closing.count(True)
+    last = max((i for i, c in enumerate(closing) if c), default=-1)
     out, depth, at = [], 0, 0
-    for m in _QUOTE_OPEN_CLOSE.finditer(text):
+    for i, m in enumerate(tags):
         if depth == 0:
             out.append(text[at : m.start()])
-        closing = bool(m[1] or m[2])
-        depth = max(0, depth - 1) if closing else depth + 1
+        if short and last < 0:
+            # never closed: the quote ends at the first empty line
+            end = text.find("\n\n", tags[-1].end())
+            return "".join(out) + ("" if end < 0 else text[end:])
+        depth = max(0, depth - 1) if closing[i] else depth + 1
+        if short and i == last:
+            depth = 0
         at = m.end()
         out.append("\n")
     if depth == 0:
@@ -79,13 +103,13 @@ def own_prose(text: str | None) -> str:
     if not text:
         return ""
     text = unescape(text.replace("\r\n", "\n").replace("\r", "\n"))
-    text = _SMALL.sub("\n", _BREAK.sub("\n", _CODE.sub("\n", _without_quotes(text))))
+    text = _SMALL.sub("\n", _BREAK.sub("\n", _CODE.sub("\n", _without_quotes(_without_quoted_lines(text)))))
     kept = []
     for line in text.split("\n"):
         bare = _TAG.sub("", line)
         if _SIGNATURE_LINE.match(bare) and kept:
             break
-        if _QUOTED_LINE.match(bare) or _ATTRIBUTION.match(bare) or _MACHINE_LINE.match(bare):
+        if _ATTRIBUTION.match(bare) or _MACHINE_LINE.match(bare):
             continue
-        kept.append(bare)
+        kept.append(_MACHINE_TOKEN.sub(" ", bare))
     return "\n".join(kept).strip()
