@@ -17,6 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from thermocline.functions.positions import SIGN_BIT
 from thermocline.operators.support import small_side
 
+#: Prefix of columns that must not meet those of the source.
+_OWN = "__held_"
+
 
 @dataclass
 class TargetState:
@@ -42,16 +45,17 @@ def pending(source: DataFrame, state: TargetState, key: Sequence[str], version:
     """
     out = source
     if state.sealed is not None and group is not None and position is not None:
-        sealed = state.sealed.select(F.col(group).alias("_group"), F.col(sealed_position).alias("_sealed")).where(F.col("_sealed").isNotNull())
-        sealed = sealed.groupBy("_group").agg(F.max("_sealed").alias("_sealed"))
-        at = F.coalesce(position, F.lit(SIGN_BIT))
-        out = out.withColumn("_at", at).join(small_side(sealed), (F.col(group) == F.col("_group")) & (F.col("_at") <= F.col("_sealed")), "left_anti").drop("_at")
+        of, upto = f"{_OWN}group", f"{_OWN}sealed"
+        sealed = state.sealed.select(F.col(group).alias(of), F.col(sealed_position).alias(upto)).where(F.col(upto).isNotNull())
+        sealed = sealed.groupBy(of).agg(F.max(upto).alias(upto))
+        held_up_to = F.coalesce(position, F.lit(SIGN_BIT)) <= F.col(upto)
+        out = out.join(small_side(sealed), (F.col(group) == F.col(of)) & held_up_to, "left_anti")
     if state.rows is not None:
         names = [*key, version]
-        held = state.rows.select(*[F.col(c).alias(f"_held_{c}") for c in names]).distinct()
+        held = state.rows.select(*[F.col(c).alias(f"{_OWN}{c}") for c in names]).distinct()
         on = None
         for c in names:
-            same = F.col(c).eqNullSafe(F.col(f"_held_{c}"))
+            same = F.col(c).eqNullSafe(F.col(f"{_OWN}{c}"))
             on = same if on is None else on & same
         out = out.join(held, on, "left_anti")
     return out

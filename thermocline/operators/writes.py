@@ -145,7 +145,8 @@ class Writes:
         if unknown := set(changes) - set(t.schema.names):
             raise WriteRejected(f"unknown columns: {sorted(unknown)}")
         expr = {c: F.expr(v) if isinstance(v, str) else v for c, v in changes.items()}
-        new_image = lambda df: df.select(*[(expr[f.name].cast(f.dataType) if f.name in expr else F.col(f.name)).alias(f.name) for f in t.schema.fields])
+        # _at: the tier key before the change, where the lake holds the row
+        new_image = lambda df: df.select(*[(expr[f.name].cast(f.dataType) if f.name in expr else F.col(f.name)).alias(f.name) for f in t.schema.fields], t.canonical().alias("_at"))
         return self._change(t, where, new_image, returning)
 
     def delete(self, name: str, where: str | None = None, *, returning: bool = False) -> WriteResult:
@@ -181,16 +182,16 @@ class Writes:
         with self._publishing(t) as p:
             if n_hot:
                 p.remove_heap_keys(hot_old.select(*t.keys), floor=cut.t)
-                p.add_heap(hot_new.where(t.hot(cut.t)))
-                p.add_overlay(hot_new.where(t.cold(cut.t)), 0)
+                p.add_heap(hot_new.where(t.hot(cut.t)).drop("_at"))
+                p.add_overlay(hot_new.where(t.cold(cut.t)).drop("_at"), 0)
             if n_cold:
                 p.add_overlay(cold_new.where(t.cold(cut.t)), 0)
                 moved = cold_new.where(t.hot(cut.t))
                 if _any(moved):
                     # the lake still holds the old image: a tombstone at the old tier key hides it
                     p.add_overlay(cold_old.join(moved.select(*t.keys), t.keys, "left_semi"), 1)
-                    p.add_heap(moved)
-        result.returning = hot_new.unionByName(cold_new) if returning else None
+                    p.add_heap(moved.drop("_at"))
+        result.returning = hot_new.unionByName(cold_new).drop("_at") if returning else None
         return result
 
     def _change_complete(self, t: TieredTable, old: DataFrame, new_image, cut: int, returning: bool) -> WriteResult:
@@ -199,19 +200,19 @@ class Writes:
         with self._publishing(t) as p:
             n = p.remove_heap_keys(old.select(*t.keys)) if _any(old) else 0
             if new is not None and n:
-                p.add_heap(new)
+                p.add_heap(new.drop("_at"))
             if t.mode.keep_heap and t.row["cold_mirror"]:
                 gone = old.where(t.cold(cut))
                 if new is not None:
                     gone = gone.join(new.where(t.cold(cut)).select(*t.keys), t.keys, "left_anti")
                 self._mirror_cold(t, p, gone, new.where(t.cold(cut)) if new is not None else None)
-        return WriteResult(n, 0, (new if new is not None else old) if returning else None)
+        return WriteResult(n, 0, (new.drop("_at") if new is not None else old) if returning else None)
 
     def _mirror_cold(self, t: TieredTable, p: Publishing, gone: DataFrame, kept: DataFrame | None) -> None:
         if t.mode.direct:
             keys = gone.select(*t.keys) if kept is None else gone.select(*t.keys).unionByName(kept.select(*t.keys))
             if _any(keys):
-                p.replace_lake(keys, kept)
+                p.replace_lake(keys, kept.drop("_at") if kept is not None else None)
             return
         p.add_overlay(gone, 1)
         if kept is not None:
@@ -287,12 +288,13 @@ class Publishing:
         return sum(r["count"] for r in hits)
 
     def add_overlay(self, rows: DataFrame, op: int) -> None:
-        """Corrections (0) or tombstones (1); later calls win over earlier ones."""
+        """Corrections (0) or tombstones (1); later calls win over earlier ones.  A column ``_at`` gives the tier key before the change."""
         t = self.t
         image = F.struct(*[(F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in t.schema.fields])
         order = 0 if self.changes is None else 1 + int(self.changes_order)
         self.changes_order = order
-        part = rows.select(t.pk().alias("pk"), F.lit(op).cast("short").alias("op"), t.canonical().alias("tier_key"), image.alias("image"), F.lit(order).alias("_order"))
+        old = F.nullif(F.col("_at"), t.canonical()) if "_at" in rows.columns else F.lit(None).cast("long")
+        part = rows.select(t.pk().alias("pk"), F.lit(op).cast("short").alias("op"), t.canonical().alias("tier_key"), old.alias("old_tier_key"), image.alias("image"), F.lit(order).alias("_order"))
         self.changes = part if self.changes is None else self.changes.unionByName(part)
 
     def replace_lake(self, keys: DataFrame, rows: DataFrame | None) -> None:

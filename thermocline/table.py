@@ -119,13 +119,13 @@ class TieredTable:
         return newest_wins(rows)
 
     def append_overlay(self, changes: DataFrame) -> tuple[list[str], int]:
-        """Writes a segment of ``changes`` (columns of the overlay but ``old_tier_key``) merged with what is there; returns the new segments and key count.
+        """Writes a segment of ``changes`` merged with what is there; returns the new segments and key count.
 
         The overlay is kept to one merged segment: its size is bounded by folding, and a read
         then never merges.
         """
         path = f"{self.root}/overlay/{uuid.uuid4().hex}"
-        both = self.overlay().unionByName(changes.select("pk", "op", "tier_key", F.lit(None).cast("long").alias("old_tier_key"), "version", "image"))
+        both = self.overlay().unionByName(changes.select("pk", "op", "tier_key", "old_tier_key", "version", "image"))
         newest_wins(both).write.parquet(path)
         return [path], self.spark.read.parquet(path).count()
 
