@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: A side is broadcast only when it is counted to have no more rows and bytes of text than this.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 16 << 20
+#: Estimates from here on are Spark's stand-in for an unknown size.
+UNKNOWN_BYTES = 1 << 60
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -39,9 +41,14 @@ def small_side(df: DataFrame) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Size of what ``df`` reads: the estimates of the leaves of its plan (those of joins multiply their sides)."""
+    """Size of what ``df`` reads: the estimates of the leaves of its plan (those of joins multiply their sides).
+
+    Leaves of unknown size, such as rows handed over by the driver, are taken from a count of ``df``.
+    """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    unknown = [s for s in sizes if s >= UNKNOWN_BYTES]
+    return sum(s for s in sizes if s < UNKNOWN_BYTES) + (df.count() * 100 if unknown else 0)
 
 
 def partitions_for(df: DataFrame, bytes_each: int, expansion: float = 1.0) -> int:
