@@ -15,7 +15,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from thermocline.operators.support import small_side
+from thermocline.operators.support import small_side, written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SEED = 20_250_301
@@ -96,7 +96,8 @@ def mix_plan(documents: DataFrame, targets: DataFrame, *, total_tokens: int | No
     rules = {r["source"]: (r["source"], r["target_share"], r["max_repeats"]) for r in targets.where(F.col("source").isNotNull()).orderBy("target_share").collect()}
     spark = documents.sparkSession
     known = spark.createDataFrame([(s,) for s in rules], "source string")
-    docs = documents.join(small_side(known), "source", "left_semi").select("doc_id", "source", "tokens", "weight")
+    # written once: the counting of tokens isn't done again for each of the sums below
+    docs = written(documents.join(small_side(known), "source", "left_semi").select("doc_id", "source", "tokens", "weight"), "token-counts")
     totals = {r["source"]: int(r["t"] or 0) for r in docs.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
     quota = budgets(totals, list(rules.values()), total_tokens)
     plan = [(s, q // totals[s] if totals.get(s) else 0, q % totals[s] if totals.get(s) else 0) for s, q in quota.items()]
@@ -129,6 +130,6 @@ def mix_shares(plan: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def mixture(documents: DataFrame, plan: DataFrame) -> DataFrame:
-    """Documents of the mixture, each as often as planned, with ``epoch`` counting its copies from 0."""
-    chosen = documents.join(plan.select("doc_id", "copies"), "doc_id")
-    return chosen.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).drop("copies")
+    """Documents of the mixture, each as often as planned, with ``epoch`` counting its copies from 0 (a column of that name is replaced)."""
+    chosen = documents.join(plan.select("doc_id", F.col("copies").alias("__copies")), "doc_id")
+    return chosen.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1))).drop("__copies")
