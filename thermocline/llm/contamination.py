@@ -74,8 +74,8 @@ class LeakFinder:
 
     ``min_run``: consecutive equal words that make a passage.  ``seed_words``: length of the
     seeds; in every window of ``min_run - seed_words + 1`` successive n-grams of an item the one
-    found in the fewest documents is a seed, so each passage of ``min_run`` words holds one
-    whatever the rarities.  ``min_score``: pairs whose alignment reaches that share of the best
+    found in the fewest documents, but in some, is a seed, so each passage of ``min_run`` words
+    holds one whatever the rarities.  ``min_score``: pairs whose alignment reaches that share of the best
     possible score of the item are reported even without such a run, as edited copies.
 
     Result: one row per document and item with the longest equal run in words, the share of the
@@ -180,8 +180,10 @@ class LeakFinder:
         hashes, item_of, place_of = [], [], []
         for i, name in enumerate(names):
             h = grams[name]
+            # an n-gram in no document finds nothing: the rarest of those that occur is the seed
             rarity = [(counts.get(int(x), 0), int(x)) for x in h]
-            chosen = {min(range(a, min(a + window, len(h))), key=lambda k: rarity[k]) for a in range(max(1, len(h) - window + 1))}
+            windows = [[k for k in range(a, min(a + window, len(h))) if rarity[k][0]] for a in range(max(1, len(h) - window + 1))]
+            chosen = {min(w, key=lambda k: rarity[k]) for w in windows if w}
             for k in sorted(chosen):
                 hashes.append(h[k])
                 item_of.append(i)
