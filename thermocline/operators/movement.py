@@ -108,7 +108,7 @@ class Movement:
         return new_t
 
     def _contiguous(self, t: TieredTable, limit: int) -> list[dict]:
-        """Partitions from the cut-line on without a hole, as far as they end within the limit."""
+        """Partitions from the cut-line on up to a hole, as far as they end within the limit; a hole right at the cut-line is an error."""
         cut = t.cut().t
         parts = [dict(p) for p in self.catalog.partitions(t.id) if p["state"] in ("hot", "sealing", "tiering")]
         chosen, expected = [], cut
@@ -116,7 +116,9 @@ class Movement:
             if p["hi"] > limit:
                 break
             if p["lo"] > expected:
-                raise MovementError(f"no partition covers [{expected}, {p['lo']})")
+                if not chosen:
+                    raise MovementError(f"no partition covers [{expected}, {p['lo']})")
+                break
             chosen.append(p)
             expected = max(expected, p["hi"])
         return chosen

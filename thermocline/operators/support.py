@@ -78,3 +78,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """``df`` in at least ``per_core`` parts per core, for steps that work long on each row.
+
+    For a scan only.  Few or small files make fewer splits than there are cores; a large input has
+    more splits than wanted and isn't shuffled.
+    """
+    wanted = per_core * df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= wanted else df.repartition(wanted)
