@@ -255,6 +255,10 @@ def test_reads_skip_the_other_half(engine):
         assert df.count() == 1 and "lake" not in str(df.inputFiles())
     with e.read("trips", "event_time < 150") as df:
         assert df.count() == 3 and "/heap/" not in str(df.inputFiles())
+    by_band = trips(e, "banded", layout=LakePartition("truncate", 100))
+    with e.read(by_band, "event_time BETWEEN 100 AND 120") as df:
+        assert df.count() == 1 and len(df.inputFiles()) == 1  # by the ranges in the manifest
+    assert e.preview("SELECT count(*) AS n FROM trips") == [{"n": 5}]
     fresh = trips(e, "fresh", tier=None)
     with pytest.raises(NeverCommitted):
         e.read(fresh, strict=True)

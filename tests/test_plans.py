@@ -2,7 +2,7 @@ import pytest
 
 from thermocline.functions.keys import INT64_MIN, TierKeyType
 from thermocline.plans.modes import Cold, Side, TableMode, WritePlan
-from thermocline.plans.predicate import All, Any, Compare, Reach, Unknown, classify, tier_predicate
+from thermocline.plans.predicate import All, Any, Compare, Reach, Unknown, bounds, classify, tier_predicate
 
 
 def test_mode_matrix():
@@ -58,3 +58,10 @@ def test_parsing_timestamps(spark):
     cut = kind.canonical("2024-01-16")
     for text, reach in (("ts >= TIMESTAMP_NTZ '2024-01-20'", Reach.HOT), ("ts < '2024-01-16'", Reach.COLD), ("ts >= DATE '2024-01-16'", Reach.HOT), ("ts > '2024-01-01'", Reach.MIXED)):
         assert classify(tier_predicate(spark, text, "ts", kind), cut) is reach, text
+
+
+def test_bounds():
+    a, b = Compare(">=", 10), Compare("<", 20)
+    assert bounds(All((a, b, Unknown()))) == (10, 20) and bounds(Any((Compare("=", 5), Compare("=", 9)))) == (5, 10)
+    assert bounds(Any((a, b))) == (None, None) and bounds(Unknown()) == (None, None) and bounds(All(())) == (None, None)
+    assert bounds(Compare(">", 3)) == (4, None) and bounds(Compare("<=", 3)) == (None, 4)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from thermocline.operators.support import bounded
 from thermocline.plans.modes import Cold
-from thermocline.plans.predicate import Reach, classify, tier_predicate
+from thermocline.plans.predicate import Reach, bounds, classify, tier_predicate
 from thermocline.table import OVERLAY_BROADCAST_KEYS, TieredTable
 
 
@@ -30,34 +30,36 @@ def merge_cold(lake: DataFrame, overlay: DataFrame, pk, columns: list[str], over
     return base.select(*columns).unionByName(upserts.select(*columns))
 
 
-def cold_rows(t: TieredTable, cut: int, snapshot: int, *, overlay: bool = True) -> DataFrame:
-    """The cold half below ``cut`` at a lake snapshot."""
+def cold_rows(t: TieredTable, cut: int, snapshot: int, *, overlay: bool = True, low: int | None = None, high: int | None = None) -> DataFrame:
+    """The cold half below ``cut`` at a lake snapshot; ``low`` and ``high`` prune lake files by the manifest and filter nothing else."""
     names = t.schema.names
-    lake = t.lake.scan(t.lake.snapshot(snapshot), high=cut).where(t.cold(cut))
+    lake = t.lake.scan(t.lake.snapshot(snapshot), low=low, high=cut if high is None else min(cut, high)).where(t.cold(cut))
     n = t.overlay_keys() if overlay else 0
     if not n:
         return lake
     return merge_cold(lake, t.overlay(), t.pk(), names, n).where(t.cold(cut))
 
 
-def hot_rows(t: TieredTable, cut: int) -> DataFrame:
-    return t.heap(low=cut).where(t.hot(cut))
+def hot_rows(t: TieredTable, cut: int, low: int | None = None, high: int | None = None) -> DataFrame:
+    return t.heap(low=cut if low is None else max(cut, low), high=high).where(t.hot(cut))
 
 
 def scan(t: TieredTable, cut: int, snapshot: int, *, where: str | None = None, reach: Reach | None = None) -> DataFrame:
     """The whole table at (cut, snapshot).  With ``where`` the half that can't match isn't read."""
     kind = t.mode.cold_read
     if t.mode.heap_complete:
-        rows = t.heap()
+        low, high = bounds(tier_predicate(t.spark, where, t.tier, t.key))
+        rows = t.heap(low, high)
         return rows.where(where) if where else rows
-    reach = reach or (classify(tier_predicate(t.spark, where, t.tier, t.key), cut) if where else Reach.MIXED)
+    predicate = tier_predicate(t.spark, where, t.tier, t.key)
+    reach, (low, high) = reach or (classify(predicate, cut) if where else Reach.MIXED), bounds(predicate)
     halves = []
     if reach is not Reach.COLD:
-        halves.append(hot_rows(t, cut))
+        halves.append(hot_rows(t, cut, low, high))
     if reach is not Reach.HOT:
         live = kind is Cold.LIVE
         numbers = t.lake.numbers() if live else []
-        halves.append(cold_rows(t, cut, (numbers[-1] if numbers else 0) if live else snapshot, overlay=not live))
+        halves.append(cold_rows(t, cut, (numbers[-1] if numbers else 0) if live else snapshot, overlay=not live, low=low, high=high))
     rows = halves[0] if len(halves) == 1 else halves[0].unionByName(halves[1])
     return rows.where(where) if where else rows
 
@@ -156,3 +158,8 @@ class Reads:
         """Runs a query over all registered tables: joins, CTEs, subqueries, aggregates and windows alike."""
         views = self.register_views(pin_ttl=pin_ttl)
         return ReadHandle(self, self.spark.sql(text), views.pins)
+
+    def preview(self, text: str, rows: int = 1000) -> list[dict]:
+        """The first rows of a query, for display."""
+        with self.sql(text) as df:
+            return [r.asDict() for r in df.limit(rows).collect()]

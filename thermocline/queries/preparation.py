@@ -13,10 +13,10 @@ COPY_FIELDS = ("id", "tenant", "vin", "event_time", "last_seen", "ts", "val", "s
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Live keys after every delivered change has been applied."""
+    """Live keys after every delivered change has been applied: the feed has ended, so its watermark is its end."""
     feed = table(spark, sf_dir, "delta_feed", "arrival_seq", "table_id", "pk", "op", "tombstone", "version")
     deleted = F.coalesce(F.col("op") == 1, F.lit(False)) | F.coalesce(F.col("tombstone"), F.lit(False))
-    state = change_replay.replay(feed, ["table_id", "pk"], "version", "arrival_seq", deleted)
+    state = change_replay.replay(feed, ["table_id", "pk"], "version", "arrival_seq", deleted, sequence="arrival_seq", final=True)
     return change_replay.live_rows(state).select("table_id", "pk", "arrival_seq")
 
 
