@@ -80,7 +80,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
     """``df`` in at least ``per_core`` parts per core, for steps that work long on each row.
 
     For a scan only.  Few or small files make fewer splits than there are cores; a large input has
