@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from thermocline.llm.text import words
-from thermocline.operators.support import written
+from thermocline.operators.support import spread, written
 
 #: Test items are matched in blocks of at most so many bytes of text; a block is broadcast to the tasks.
 BLOCK_BYTES = 32 << 20
@@ -112,7 +112,7 @@ class LeakFinder:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "words"])
 
         kept = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-        return written(kept.mapInArrow(plain, "doc_id long, words string"), "plain-words")
+        return written(spread(kept).mapInArrow(plain, "doc_id long, words string"), "plain-words")
 
     def _match(self, corpus: DataFrame, items: dict[str, list[str]]) -> DataFrame:
         spark, n = corpus.sparkSession, self.seed_words

@@ -15,7 +15,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from thermocline.operators.support import small_side, written
+from thermocline.operators.support import small_side, spread, written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SEED = 20_250_301
@@ -47,7 +47,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
     letters = F.length(F.regexp_replace("text", r"[^\p{L}]", "")) / F.greatest(F.length("text"), F.lit(1))
     weight = F.greatest(F.coalesce(letters, F.lit(0.0)), F.lit(0.01))
-    return documents.select("doc_id", "source", weight.alias("weight"), "text").mapInArrow(count, "doc_id long, source string, tokens long, weight double")
+    return spread(documents.select("doc_id", "source", weight.alias("weight"), "text")).mapInArrow(count, "doc_id long, source string, tokens long, weight double")
 
 
 def budgets(totals: dict[str, int], targets: list[tuple[str, float, int]], total_tokens: int | None = None) -> dict[str, int]:

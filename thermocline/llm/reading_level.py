@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from thermocline.llm.text import fold, own_prose
-from thermocline.operators.support import written
+from thermocline.operators.support import spread, written
 
 STEPS = (2, 3, 4)
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;:,]")
@@ -90,7 +90,7 @@ class ReadingLevel:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "words"])
 
         kept = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-        found = kept.mapInArrow(read, "doc_id long, words array<long>").where(F.size("words") > 0)
+        found = spread(kept).mapInArrow(read, "doc_id long, words array<long>").where(F.size("words") > 0)
         per = grades.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.avg((F.col("grade") >= k).cast("double")).alias(f"y{k}") for k in STEPS])
         joined = found.join(per, "doc_id", "left").withColumn("graded", F.col(f"y{STEPS[0]}").isNotNull()).withColumn("w", F.lit(1.0))
         return written(joined.dropDuplicates(["doc_id"]).select("doc_id", "words", "graded", "w", *[f"y{k}" for k in STEPS]), "word-occurrences")
