@@ -40,32 +40,31 @@ def gram_hashes(tokens: list[str], n: int) -> np.ndarray:
 def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int, int]:
     """Smith-Waterman with linear gaps: best score, matched words on its path (lower bound from the score), first and last word in ``doc``, longest equal run.
 
-    One vector step per item word; gaps along the document are settled by a running maximum.
+    One vector step per item word.  A cell holds its score in the upper half of a long and the place
+    where its alignment begins in the lower, so one maximum settles both; gaps along the document
+    are settled by a running maximum.
     """
-    n = len(doc)
-    columns = np.arange(1, n + 1)
-    score, begin, run = np.zeros(n + 1, np.int64), np.arange(n + 1), np.zeros(n + 1, np.int64)
-    best, at, longest = 0, 0, 0
-    first = 0
+    n, unit = len(doc), 1 << 32
+    fresh = np.arange(1, n + 1)
+    gaps = GAP * unit * fresh
+    cells, run = np.arange(n + 1), np.zeros(n + 1, np.int64)
+    best, last, longest = 0, 0, 0
     for w in item:
         equal = doc == w
-        diagonal = score[:-1] + np.where(equal, MATCH, MISMATCH)
-        up = score[1:] + GAP
-        new = np.maximum(np.maximum(diagonal, up), 0)
-        origin = np.where(new == 0, columns, np.where(diagonal >= up, begin[:-1], begin[1:]))
-        lifted = new - GAP * columns
-        reach = np.maximum.accumulate(lifted)
-        source = np.maximum.accumulate(np.where(lifted == reach, np.arange(n), -1))
-        total = reach + GAP * columns
-        origin = np.where(total > new, origin[source], origin)
-        score = np.concatenate(([0], total))
-        begin = np.concatenate(([0], origin))
-        run = np.concatenate(([0], np.where(equal, run[:-1] + 1, 0)))
+        new = cells[:-1] + np.where(equal, MATCH * unit, MISMATCH * unit)
+        np.maximum(new, cells[1:] + GAP * unit, out=new)
+        np.maximum(new, fresh, out=new)
+        new -= gaps
+        np.maximum.accumulate(new, out=new)
+        new += gaps
+        cells[1:] = new
+        run[1:] = (run[:-1] + 1) * equal
         longest = max(longest, int(run.max()))
-        top = int(total.argmax())
-        if total[top] > best:
-            best, at, first = int(total[top]), top, int(origin[top])
-    return best, (best + MATCH - 1) // MATCH, first, at, longest
+        top = int(new.max())
+        if top >> 32 > best >> 32:
+            best, last = top, int(new.argmax())
+    score = best >> 32
+    return score, (score + MATCH - 1) // MATCH, best % unit, last, longest
 
 
 @dataclass
@@ -145,6 +144,8 @@ class LeakFinder:
                         for s in range(low[d], high[d]):
                             starts.setdefault(int(item_of[s]), []).append(int(d) - int(place_of[s]))
                     for i, offsets in starts.items():
+                        if not _can_count(doc, coded[i], offsets, min_run, min_score):
+                            continue
                         made = _best(doc, coded[i], offsets)
                         share = made[0] / (MATCH * len(coded[i]))
                         if made[4] >= min_run or share >= min_score:
@@ -192,18 +193,44 @@ class LeakFinder:
         return np.array(hashes, np.uint64)[order], np.array(item_of)[order], np.array(place_of)[order]
 
 
-def _best(doc: np.ndarray, item: np.ndarray, offsets: list[int]) -> tuple[int, int, int, int, int]:
-    """Best alignment over the parts of the document around the seeds, and the longest run of any."""
+def _spans(doc: np.ndarray, item: np.ndarray, offsets: list[int]) -> list[list[int]]:
+    """Parts of the document around the seeds, wide enough for insertions of half the item's length on either side."""
     reach = len(item) + len(item) // 2 + 8
     spans: list[list[int]] = []
-    for o in sorted(offsets):
+    for o in sorted(set(offsets)):
         a, b = max(0, o - len(item) // 2 - 8), min(len(doc), o + reach)
         if spans and a <= spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], b)
         else:
             spans.append([a, b])
+    return spans
+
+
+def _can_count(doc: np.ndarray, item: np.ndarray, offsets: list[int], min_run: int, min_score: float) -> bool:
+    """Whether the pair can reach either threshold: an exact bound that spares the alignment, never a guess.
+
+    A passage of ``min_run`` words lies on the diagonal of a seed.  A score needs as many matches,
+    and no word matches more often than it occurs on both sides.
+    """
+    for o in set(offsets):
+        a, b = max(0, o), min(len(doc), o + len(item))
+        equal = doc[a:b] == item[a - o : b - o]
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], equal, [False])).astype(np.int8)))
+        if len(edges) and int((edges[1::2] - edges[::2]).max()) >= min_run:
+            return True
+    kinds, wanted = np.unique(item, return_counts=True)
+    for a, b in _spans(doc, item, offsets):
+        part = doc[a:b]
+        have = np.bincount(np.searchsorted(kinds, part[np.isin(part, kinds)]), minlength=len(kinds))
+        if int(np.minimum(have, wanted).sum()) >= min_score * len(item):
+            return True
+    return False
+
+
+def _best(doc: np.ndarray, item: np.ndarray, offsets: list[int]) -> tuple[int, int, int, int, int]:
+    """Best alignment over the parts of the document around the seeds, and the longest run of any."""
     best, longest = None, 0
-    for a, b in spans:
+    for a, b in _spans(doc, item, offsets):
         score, matched, first, last, run = align(doc[a:b], item)
         longest = max(longest, run)
         if best is None or score > best[0]:
