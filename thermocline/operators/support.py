@@ -13,6 +13,8 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 16 << 20
 #: Estimates from here on are Spark's stand-in for an unknown size.
 UNKNOWN_BYTES = 1 << 60
+#: Tables written by :func:`written` in this process.
+_SCRATCH: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -76,6 +78,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, label)
+    _SCRATCH.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -88,3 +91,13 @@ def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
     """
     wanted = per_core * df.sparkSession.sparkContext.defaultParallelism
     return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= wanted else df.repartition(wanted)
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Deletes what :func:`written` has written so far; call it when no result is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    n = 0
+    while _SCRATCH:
+        p = path(_SCRATCH.pop())
+        n += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+    return n
