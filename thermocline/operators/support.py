@@ -37,9 +37,9 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, text_bytes: int = BROADCA
     return n <= rows and total <= text_bytes
 
 
-def small_side(df: DataFrame) -> DataFrame:
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, text_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to be bounded, else as it is: Spark then shuffles, and AQE splits skewed keys."""
-    return F.broadcast(df) if bounded(df) else df
+    return F.broadcast(df) if bounded(df, rows, text_bytes) else df
 
 
 def estimated_bytes(df: DataFrame) -> int:
