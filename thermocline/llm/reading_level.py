@@ -20,9 +20,11 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from thermocline.llm.text import fold, own_prose
-from thermocline.operators.support import spread, written
+from thermocline.operators.support import small_side, spread, written
 
 STEPS = (2, 3, 4)
+#: The table of word difficulties is broadcast when it is counted to have no more rows than this; a larger one is joined by a shuffle.
+WORDS_BROADCAST = 500_000
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?;:,]")
 
 
@@ -69,7 +71,7 @@ class ReadingLevel:
         base = [min(max(float(x), 0.01), 0.99) for x in sums[1:]]
         state = docs
         for turn in range(self.rounds):
-            words = self._difficulties(state if turn else state.where(F.col("graded")), base)
+            words = written(self._difficulties(state if turn else state.where(F.col("graded")), base), "word-difficulties")
             placed = written(self._document_levels(state, words, base), "reading-levels")
             cuts = self._cuts(placed)
             if turn + 1 < self.rounds:
@@ -103,7 +105,7 @@ class ReadingLevel:
     def _document_levels(self, state: DataFrame, words: DataFrame, base: list[float]) -> DataFrame:
         """``doc_id, graded, y*, t*``: mean difficulty of each document's words, its own grades left out."""
         own = F.when(F.col("graded"), F.col("w")).otherwise(F.lit(0.0))
-        each = state.select("doc_id", "graded", own.alias("own"), *[f"y{k}" for k in STEPS], F.explode("words").alias("word")).join(words, "word")
+        each = state.select("doc_id", "graded", own.alias("own"), *[f"y{k}" for k in STEPS], F.explode("words").alias("word")).join(small_side(words, WORDS_BROADCAST, 64 << 20), "word")
         n = F.col("n") - F.col("own")
         terms = []
         for k, b in zip(STEPS, base):
