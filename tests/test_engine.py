@@ -145,6 +145,20 @@ def test_fold_takes_the_oldest_and_keeps_the_rest(engine):
     assert state(e) == [(1, 10, "x"), (2, 20, "y"), (3, 110, "z"), *TRIPS[3:]]
 
 
+@pytest.mark.parametrize("merge_on_read", [False, True])
+def test_fold_of_a_part_of_one_write(engine, merge_on_read):
+    e = engine
+    trips(e)
+    e.update("trips", {"val": "upper(val)"}, "event_time < 200")
+    want = [(i, t, v.upper() if t < 200 else v) for i, t, v in TRIPS]
+    for left in (3, 2, 1, 0):
+        assert e.fold("trips", 1, merge_on_read=merge_on_read)
+        assert e.table("trips").overlay_keys() == left and state(e) == want
+    e.delete("trips", "event_time < 150")
+    assert e.fold("trips", 2, merge_on_read=merge_on_read)
+    assert e.table("trips").overlay_keys() == 1 and state(e) == want[3:]
+
+
 def test_rejections(engine):
     e = engine
     trips(e, lake_retention=150, layout=LakePartition("truncate", 50))

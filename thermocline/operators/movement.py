@@ -175,14 +175,15 @@ class Movement:
         """Folds the oldest ``batch`` corrections into the lake; returns the new snapshot, None if pinned or nothing to do.
 
         A correction replaces the row where the lake holds it (its old tier key) and lands at its
-        new one.  Corrections that arrive meanwhile have higher versions and stay.
+        new one.  Exactly the folded keys at their folded versions are cleared: the other rows of a
+        write, which share its version, and corrections that arrive meanwhile stay.
         """
         t = self.table(name)
         if self.catalog.pinned(t.id) or not t.overlay_keys():
             return None
         segments, cut = t.overlay_segments(), t.cut()
         rows = t.overlay(segments)
-        chosen = written(rows.orderBy("version").limit(batch), "fold")
+        chosen = written(rows.orderBy("version", "pk").limit(batch), "fold")
         top = chosen.agg(F.max("version")).first()[0]
         op = uuid.uuid4().hex
         self.catalog.log_op(op, t.id, "compaction", "flushing", details={"version": top})
@@ -191,13 +192,13 @@ class Movement:
         self.catalog.log_op(op, t.id, "compaction", "committed", made.number)
         with self.catalog.transaction():
             now = t.overlay_segments()
-            left = self._without_folded(t, now, top)
+            left = self._without_folded(t, now, chosen)
             self.catalog.publish_fold(t.id, made.number, top, left)
             self.catalog.log_op(op, t.id, "compaction", "advanced", made.number)
         return made.number
 
-    def _without_folded(self, t: TieredTable, segments: list[str], top: int) -> tuple[list[str], int]:
-        left = t.overlay(segments).where(F.col("version") > top)
+    def _without_folded(self, t: TieredTable, segments: list[str], folded: DataFrame) -> tuple[list[str], int]:
+        left = t.overlay(segments).join(folded.select("pk", "version"), ["pk", "version"], "left_anti").select(*t.overlay_schema().names)
         path = f"{t.root}/overlay/{uuid.uuid4().hex}"
         left.write.parquet(path)
         n = t.spark.read.parquet(path).count()
