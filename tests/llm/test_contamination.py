@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from thermocline.llm import contamination
-from thermocline.llm.contamination import GAP, MATCH, MISMATCH, LeakFinder, align
+from thermocline.llm.contamination import GAP, MATCH, MISMATCH, LeakFinder, Overlap, align
 from thermocline.llm.text import words
 
 DOCS, ITEMS = "doc_id long, text string, item_id string, words string", "item_id string, prompt string, text string"
@@ -78,6 +78,39 @@ def test_edited_copies_are_scored(spark):
     assert got[0]["score"] > 0.6 and got[0]["first_word"] >= 49 and got[0]["last_word"] <= 91
 
 
+def test_edited_copies_beside_an_exact_one(spark):
+    item = " ".join(f"a{i}" for i in range(40)).split()
+    ninth, fifth = ([w if i % n else "changed" for i, w in enumerate(item)] for n in (9, 5))
+    spaced = [x for w in item for x in ([w, "um"] if int(w[1:]) % 2 else [w])]
+    texts = [(1, ninth), (2, item), (3, fifth), (4, spaced), (5, item[::-1]), (6, item[:12])]
+    docs = spark.createDataFrame([(d, "x " * 300 + " ".join(w) + " y" * 300) for d, w in texts], "doc_id long, text string")
+    items = spark.createDataFrame([("i", " ".join(item))], "item_id string, prompt string")
+    got = {r["doc_id"]: r for r in LeakFinder().find(docs, items).collect()}
+    assert {d: (r["longest_run"], round(r["score"] * 80)) for d, r in got.items()} == {1: (8, 2 * 35 - 4), 2: (40, 80), 3: (4, 2 * 32 - 7), 4: (2, 2 * 40 - 19)}
+    assert all(r["first_word"] >= 300 and r["last_word"] < 300 + len(dict(texts)[d]) for d, r in got.items())
+    assert [r["doc_id"] for r in LeakFinder().passages(docs, items).collect()] == [2]
+
+
+@pytest.mark.parametrize("min_score", [0.3, 0.5, 0.8])
+def test_no_pair_above_the_score_is_passed_over(min_score):
+    rnd = np.random.RandomState(3)
+    reached = 0
+    for k in range(250):
+        items = [rnd.randint(0, 8, rnd.randint(6, 16)) for _ in range(3)]
+        doc = rnd.randint(-1, 8, rnd.randint(1, 60))
+        if k % 2:
+            copy = np.array([x if rnd.rand() > k % 4 * 0.08 else -1 for x in items[0] for _ in range(rnd.choice([0, 2] + [1] * (4 if k % 4 > 1 else 30)))], int)
+            at = rnd.randint(0, len(doc) + 1)
+            doc = np.concatenate([doc[:at], copy, doc[at:]])
+        parts = Overlap(items, 8, min_score).parts(doc)
+        for i, item in enumerate(items):
+            best = classic(doc, item)
+            if best >= min_score * MATCH * len(item):
+                reached += 1
+                assert max(align(doc[a:b], item)[0] for a, b in parts[i]) == best
+    assert reached > 30
+
+
 def test_empty_tables_and_very_long_texts(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([("i", "one two three four five six seven eight nine ten eleven twelve thirteen")], "item_id string, prompt string")
     assert LeakFinder().find(docs, items).count() == 0

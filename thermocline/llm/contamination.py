@@ -1,7 +1,8 @@
 """Evaluation texts that leaked into training text.
 
-Rare n-gram seeds of the test items find candidate passages in the corpus, and a
-Smith-Waterman alignment scores each pair, so edited copies are found along with exact ones.
+Rare n-gram seeds of the test items find candidate passages in the corpus, an exact bound on
+shared words and pairs of words finds candidates for edited copies, and a Smith-Waterman
+alignment scores each pair.
 """
 
 from __future__ import annotations
@@ -75,7 +76,9 @@ class LeakFinder:
     seeds; in every window of ``min_run - seed_words + 1`` successive n-grams of an item the one
     found in the fewest documents, but in some, is a seed, so each passage of ``min_run`` words
     holds one whatever the rarities.  ``min_score``: pairs whose alignment reaches that share of the best
-    possible score of the item are reported even without such a run, as edited copies.
+    possible score of the item are reported even without such a run, as edited copies.  They need no
+    seed: a pair is aligned unless the words and pairs of successive words that it shares rule out that
+    score (:class:`Overlap`).  :meth:`passages` leaves edited copies out.
 
     Result: one row per document and item with the longest equal run in words, the share of the
     best score, the matched words and the place in the document in words.  Documents without
@@ -92,6 +95,13 @@ class LeakFinder:
 
     def find(self, documents: DataFrame, items: DataFrame) -> DataFrame:
         """``documents``: doc_id, text.  ``items``: item_id, prompt."""
+        return self._find(documents, items, True)
+
+    def passages(self, documents: DataFrame, items: DataFrame) -> DataFrame:
+        """The pairs of :meth:`find` with a run of ``min_run`` words; place and score are those around its seeds."""
+        return self._find(documents, items, False)
+
+    def _find(self, documents: DataFrame, items: DataFrame, edited: bool) -> DataFrame:
         corpus = self._words(documents)
         items = items.select("item_id", "prompt").where(F.col("item_id").isNotNull() & F.col("prompt").isNotNull())
         total = items.agg(F.sum(F.octet_length(F.col("prompt").cast("binary")))).first()[0] or 0
@@ -99,7 +109,7 @@ class LeakFinder:
         found = None
         for b in range(blocks):
             block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
-            pairs = self._match(corpus, {r["item_id"]: words(r["prompt"]) for r in block.collect()})
+            pairs = self._match(corpus, {r["item_id"]: words(r["prompt"]) for r in block.collect()}, edited)
             found = pairs if found is None else found.unionByName(pairs)
         best = F.struct("longest_run", "score", "matched_words", "first_word", "last_word")
         return found.groupBy("doc_id", "item_id").agg(F.max(best).alias("b")).select("doc_id", "item_id", "b.*")
@@ -113,7 +123,7 @@ class LeakFinder:
         kept = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
         return written(spread(kept).mapInArrow(plain, "doc_id long, words string"), "plain-words")
 
-    def _match(self, corpus: DataFrame, items: dict[str, list[str]]) -> DataFrame:
+    def _match(self, corpus: DataFrame, items: dict[str, list[str]], edited: bool) -> DataFrame:
         spark, n = corpus.sparkSession, self.seed_words
         items = {k: w for k, w in items.items() if len(w) >= n}
         if not items:
@@ -123,11 +133,11 @@ class LeakFinder:
         seeds = self._seeds(names, grams, self._document_counts(corpus, np.unique(np.concatenate(list(grams.values())))))
         vocabulary: dict[str, int] = {}
         coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in items[k]], np.int64) for k in names]
-        shared = spark.sparkContext.broadcast((names, coded, vocabulary, seeds))
+        shared = spark.sparkContext.broadcast((names, coded, vocabulary, seeds, Overlap(coded, len(vocabulary), self.min_score) if edited else None))
         min_run, min_score = self.min_run, self.min_score
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, coded, vocabulary, (hashes, item_of, place_of) = shared.value
+            names, coded, vocabulary, (hashes, item_of, place_of), overlap = shared.value
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -136,19 +146,21 @@ class LeakFinder:
                     low = np.searchsorted(hashes, own, "left")
                     high = np.searchsorted(hashes, own, "right")
                     hit = np.flatnonzero(high > low)
-                    if not len(hit):
+                    if not len(hit) and overlap is None:
                         continue
                     doc = np.fromiter((vocabulary.get(t, -1) for t in tokens), np.int64, len(tokens))
                     starts: dict[int, list[int]] = {}
                     for d in hit:
                         for s in range(low[d], high[d]):
                             starts.setdefault(int(item_of[s]), []).append(int(d) - int(place_of[s]))
-                    for i, offsets in starts.items():
-                        if not _can_count(doc, coded[i], offsets, min_run, min_score):
+                    parts = overlap.parts(doc) if overlap is not None else {}
+                    for i in starts.keys() | parts.keys():
+                        offsets = starts.get(i, [])
+                        if i not in parts and not _holds_run(doc, coded[i], offsets, min_run):
                             continue
-                        made = _best(doc, coded[i], offsets)
+                        made = _best(doc, coded[i], _merged(_spans(doc, coded[i], offsets) + parts.get(i, [])))
                         share = made[0] / (MATCH * len(coded[i]))
-                        if made[4] >= min_run or share >= min_score:
+                        if made[4] >= min_run or edited and share >= min_score:
                             rows.append((doc_id, names[i], made[4], share, made[1], made[2], made[3]))
                 columns = list(zip(*rows)) if rows else [()] * 7
                 kinds = (pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
@@ -193,44 +205,93 @@ class LeakFinder:
         return np.array(hashes, np.uint64)[order], np.array(item_of)[order], np.array(place_of)[order]
 
 
+class Overlap:
+    """Which items a document can hold with a share ``min_score`` of their best score, and where: an exact bound, never a guess.
+
+    An alignment of M matched words in r runs has at least r - 1 edits between the runs, and M - r
+    pairs of successive words that both sides share.  Its score is at most 2 M - (r - 1), so at most
+    the shared words plus the shared pairs plus one, each counted as often as it occurs on both
+    sides.  A score of S has at most 2 M - S edits, so it lies within 3 L - S words of the document.
+    """
+
+    def __init__(self, items: list[np.ndarray], words: int, min_score: float):
+        self.words = words
+        self.pairs = np.unique(np.concatenate([w[:-1] * words + w[1:] for w in items]))
+        self.kinds = [np.unique(np.concatenate([w, words + np.searchsorted(self.pairs, w[:-1] * words + w[1:])]), return_counts=True) for w in items]
+        self.lengths = np.array([len(w) for w in items])
+        self.least = np.maximum(1, np.ceil(MATCH * min_score * self.lengths - 1e-6)).astype(np.int64)
+        features = np.concatenate([k for k, _ in self.kinds])
+        order = np.argsort(features, kind="stable")
+        self.item_of = np.repeat(np.arange(len(items)), [len(k) for k, _ in self.kinds])[order]
+        self.count_of = np.concatenate([c for _, c in self.kinds])[order]
+        self.first = np.searchsorted(features[order], np.arange(words + len(self.pairs) + 1))
+
+    def parts(self, doc: np.ndarray) -> dict[int, list[list[int]]]:
+        """Item to the parts of the document that can hold it."""
+        if not len(doc):
+            return {}
+        pair = np.full(len(doc), -1)
+        at = np.flatnonzero((doc[:-1] >= 0) & (doc[1:] >= 0))
+        key = doc[at] * self.words + doc[at + 1]
+        place = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        same = self.pairs[place] == key
+        pair[at[same]] = self.words + place[same]
+        kinds, counts = np.unique(np.concatenate([doc[doc >= 0], pair[pair >= 0]]), return_counts=True)
+        sizes = self.first[kinds + 1] - self.first[kinds]
+        rows = np.repeat(self.first[kinds] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        total = np.bincount(self.item_of[rows], np.minimum(self.count_of[rows], np.repeat(counts, sizes)), len(self.lengths))
+        found = {}
+        for i in np.flatnonzero((total > 0) & (total + 1 >= self.least)):
+            width = int(3 * self.lengths[i] - self.least[i])
+            if len(doc) <= width:
+                found[int(i)] = [[0, len(doc)]]
+                continue
+            kinds, counts = self.kinds[i]
+            sums = np.concatenate(([0], np.cumsum(np.isin(doc, kinds).astype(np.int64) + np.isin(pair, kinds))))
+            windows = np.flatnonzero(sums[width:] - sums[:-width] + 1 >= self.least[i])
+            kept = [s for s in _merged([[int(a), int(a) + width] for a in windows]) if self._shared(np.concatenate([doc[s[0] : s[1]], pair[s[0] : s[1]]]), kinds, counts) + 1 >= self.least[i]]
+            if kept:
+                found[int(i)] = kept
+        return found
+
+    @staticmethod
+    def _shared(features: np.ndarray, kinds: np.ndarray, counts: np.ndarray) -> int:
+        own = features[np.isin(features, kinds)]
+        return int(np.minimum(np.bincount(np.searchsorted(kinds, own), minlength=len(kinds)), counts).sum())
+
+
 def _spans(doc: np.ndarray, item: np.ndarray, offsets: list[int]) -> list[list[int]]:
     """Parts of the document around the seeds, wide enough for insertions of half the item's length on either side."""
     reach = len(item) + len(item) // 2 + 8
-    spans: list[list[int]] = []
-    for o in sorted(set(offsets)):
-        a, b = max(0, o - len(item) // 2 - 8), min(len(doc), o + reach)
-        if spans and a <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], b)
-        else:
-            spans.append([a, b])
-    return spans
+    return [[max(0, o - len(item) // 2 - 8), min(len(doc), o + reach)] for o in set(offsets)]
+
 
+def _merged(spans: list[list[int]]) -> list[list[int]]:
+    """Spans in order, overlapping ones joined."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
 
-def _can_count(doc: np.ndarray, item: np.ndarray, offsets: list[int], min_run: int, min_score: float) -> bool:
-    """Whether the pair can reach either threshold: an exact bound that spares the alignment, never a guess.
 
-    A passage of ``min_run`` words lies on the diagonal of a seed.  A score needs as many matches,
-    and no word matches more often than it occurs on both sides.
-    """
+def _holds_run(doc: np.ndarray, item: np.ndarray, offsets: list[int], min_run: int) -> bool:
+    """Whether the pair has a run of ``min_run`` words: it lies on the diagonal of a seed, so this spares the alignment, never a guess."""
     for o in set(offsets):
         a, b = max(0, o), min(len(doc), o + len(item))
         equal = doc[a:b] == item[a - o : b - o]
         edges = np.flatnonzero(np.diff(np.concatenate(([False], equal, [False])).astype(np.int8)))
         if len(edges) and int((edges[1::2] - edges[::2]).max()) >= min_run:
             return True
-    kinds, wanted = np.unique(item, return_counts=True)
-    for a, b in _spans(doc, item, offsets):
-        part = doc[a:b]
-        have = np.bincount(np.searchsorted(kinds, part[np.isin(part, kinds)]), minlength=len(kinds))
-        if int(np.minimum(have, wanted).sum()) >= min_score * len(item):
-            return True
     return False
 
 
-def _best(doc: np.ndarray, item: np.ndarray, offsets: list[int]) -> tuple[int, int, int, int, int]:
-    """Best alignment over the parts of the document around the seeds, and the longest run of any."""
+def _best(doc: np.ndarray, item: np.ndarray, spans: list[list[int]]) -> tuple[int, int, int, int, int]:
+    """Best alignment over the given parts of the document, and the longest run of any."""
     best, longest = None, 0
-    for a, b in _spans(doc, item, offsets):
+    for a, b in spans:
         score, matched, first, last, run = align(doc[a:b], item)
         longest = max(longest, run)
         if best is None or score > best[0]:
@@ -238,4 +299,4 @@ def _best(doc: np.ndarray, item: np.ndarray, offsets: list[int]) -> tuple[int, i
     return (*best, longest)
 
 
-__all__ = ["LeakFinder", "align", "gram_hashes"]
+__all__ = ["LeakFinder", "Overlap", "align", "gram_hashes"]

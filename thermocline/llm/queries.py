@@ -12,7 +12,7 @@ from thermocline.operators.support import table
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold at least 13 consecutive words of a test item's prompt."""
-    found = LeakFinder(min_run=13).find(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "prompt"))
+    found = LeakFinder(min_run=13).passages(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "prompt"))
     return found.where(F.col("longest_run") >= 13).select("doc_id", "item_id")
 
 
