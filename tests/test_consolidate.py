@@ -2,6 +2,7 @@ import random
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from thermocline.operators.consolidate import SortedRunMerger, assign_outputs, consolidation_plan, merge_candidates, merge_orders
 
@@ -88,3 +89,21 @@ def test_hot_group_is_merged_by_key_ranges(spark, tmp_path):
     made = SortedRunMerger(["k"], str(tmp_path / "out")).run(spark.createDataFrame(orders, "group_id string, paths array<string>, low long, high long")).collect()
     back = [r["k"] for m in sorted(made, key=lambda m: int(m["upper"])) for r in pq.read_table(m["path"]).to_pylist()]
     assert back == sorted(everything, key=lambda k: (k is not None, k or 0))
+
+
+@pytest.mark.parametrize("counted", [False, True])
+def test_nulls_of_files_with_a_known_range_are_kept(spark, tmp_path, counted):
+    listing, everything = [], []
+    for i in range(12):
+        keys = [*[None] * (i % 3), *range(100 * i, 100 * i + 50)]
+        everything += keys
+        pq.write_table(pa.table({"k": pa.array(keys, pa.int64()), "v": pa.array([str(i)] * len(keys))}), tmp_path / f"{i}.parquet", row_group_size=20)
+        listing.append(("hot", str(tmp_path / f"{i}.parquet"), 100 * i, 100 * i + 49, 1000, (i % 3 if i != 4 else None) if counted else None))
+    files = spark.createDataFrame(listing, "group_id string, path string, low long, high long, bytes long, nulls long")
+    orders = merge_orders(files if counted else files.drop("nulls"), bytes_per_order=3000)
+    assert orders.count() > 2
+    made = SortedRunMerger(["k"], str(tmp_path / "out"), batch_rows=7, fan_in=3).run(orders).collect()
+    back = [r["k"] for m in sorted(made, key=lambda m: int(m["upper"])) for r in pq.read_table(m["path"]).to_pylist()]
+    assert back == sorted(everything, key=lambda k: (k is not None, k or 0))
+    at_open = orders.where("low is null").first()["paths"]
+    assert counted == (str(tmp_path / "9.parquet") not in at_open)

@@ -103,17 +103,23 @@ def consolidation_plan(files: DataFrame, plans: DataFrame, labels: DataFrame) ->
 def merge_orders(files: DataFrame, bytes_per_order: int = 1 << 30) -> DataFrame:
     """Work orders for :class:`SortedRunMerger` from sorted files: ``group_id, paths, low, high``.
 
-    ``files``: group_id, path, low, high (range of the first sort column, both ends inclusive, null
-    if unknown) and bytes.  A group of more than ``bytes_per_order`` is cut at quantiles of the
-    files' lows; every file goes to each range it meets, which reads its own part of it.
+    ``files``: group_id, path, low, high (range of the first sort column without its nulls, both ends
+    inclusive, null if unknown), bytes and, where known, nulls (number of nulls in that column).  A
+    group of more than ``bytes_per_order`` is cut at quantiles of the files' lows; every file goes to
+    each range it meets, which reads its own part of it.  A file that may hold nulls also goes to
+    the range with the open low end, to which they belong; without a count that is every file.
     """
+    if "nulls" not in files.columns:
+        files = files.withColumn("nulls", F.lit(None).cast("long"))
     sizes = files.groupBy("group_id").agg(F.greatest(F.lit(1), F.ceil(F.sum("bytes") / F.lit(bytes_per_order))).cast("int").alias("k"), F.percentile_approx("low", [i / 256 for i in range(1, 256)], 10_000).alias("grid"))
     step = F.greatest(F.lit(1), F.floor(F.lit(256) / F.col("k"))).cast("int")
     cuts = F.when(F.col("k") > 1, F.array_sort(F.array_distinct(F.filter("grid", lambda x, i: (i + 1) % step == 0)))).otherwise(F.array().cast("array<long>"))
     sized = sizes.select(F.col("group_id").alias("_g"), F.coalesce(cuts, F.array().cast("array<long>")).alias("cuts"))
     joined = files.join(sized, F.col("group_id").eqNullSafe(F.col("_g")))
     place = lambda x, empty: F.when(x.isNull(), empty).otherwise(F.size(F.filter("cuts", lambda c: c <= x)))
-    each = joined.withColumn("n", F.explode(F.sequence(place(F.col("low"), F.lit(0)), place(F.col("high"), F.size("cuts")))))
+    met = F.sequence(place(F.col("low"), F.lit(0)), place(F.col("high"), F.size("cuts")))
+    met = F.when(F.coalesce(F.col("nulls") == 0, F.lit(False)), met).otherwise(F.array_union(F.array(F.lit(0)), met))
+    each = joined.withColumn("n", F.explode(met))
     end = lambda i: F.try_element_at("cuts", i)
     ranged = each.select("group_id", "path", F.when(F.col("n") > 0, end(F.greatest(F.col("n"), F.lit(1)))).alias("low"), end(F.col("n") + 1).alias("high"))
     return ranged.groupBy("group_id", "low", "high").agg(F.collect_list("path").alias("paths")).select("group_id", "paths", "low", "high")
@@ -198,7 +204,8 @@ class SortedRunMerger:
 
     def _batches(self, path: str, low: int | None, high: int | None, schema: pa.Schema) -> Iterator[pa.Table]:
         first = self.sort_columns[0]
-        for batch in pq.ParquetFile(_local(path)).iter_batches(self.batch_rows):
+        file = pq.ParquetFile(_local(path))
+        for batch in file.iter_batches(self.batch_rows, row_groups=self._row_groups(file, low, high)):
             t = pa.Table.from_batches([batch])
             t = pa.table([t[f.name].cast(f.type) if f.name in t.column_names else pa.nulls(t.num_rows, f.type) for f in schema], schema=schema)
             if low is not None or high is not None:
@@ -210,6 +217,19 @@ class SortedRunMerger:
             if t.num_rows:
                 yield t
 
+    def _row_groups(self, file: pq.ParquetFile, low: int | None, high: int | None) -> list[int]:
+        """Row groups that may hold rows of the range; a file sent along for its nulls costs its footer if it has none."""
+        meta, kept = file.metadata, []
+        at = next((i for i in range(meta.num_columns) if meta.schema.column(i).path == self.sort_columns[0]), None)
+        for g in range(meta.num_row_groups):
+            s = meta.row_group(g).column(at).statistics if at is not None else None
+            nulls = low is None and (s is None or not s.has_null_count or s.null_count > 0)
+            if not nulls and s is not None and s.has_min_max and isinstance(s.min, int):
+                if low is not None and s.max < low or high is not None and s.min >= high:
+                    continue
+            kept.append(g)
+        return kept
+
     def _key(self, t: pa.Table, row: int) -> tuple:
         values = [t[c][row].as_py() for c in self.sort_columns]
         return tuple((v is not None, v if v is not None else 0) for v in values)
