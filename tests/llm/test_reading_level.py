@@ -69,3 +69,13 @@ def test_held_out_accuracy(spark):
     assert len(rows) > 200 and right >= 0.96 * len(rows)
     agreed = [r for r in rows if r["n"] >= 2]
     assert sum((r["level"] == 4) == (r["a"] == 4) for r in agreed) >= 0.98 * len(agreed)
+
+
+def test_rare_words_of_ungraded_documents_count(spark):
+    rows = [(d, [7, 100 + d], False, 0.2, 0.9, 0.9, 0.9) for d in range(3)] + [(9, [7], True, 1.0, 0.0, 0.0, 0.0)]
+    state = spark.createDataFrame(rows, "doc_id long, words array<long>, graded boolean, w double, y2 double, y3 double, y4 double")
+    level, base = ReadingLevel(), [0.5, 0.5, 0.5]
+    words = level._difficulties(state, base)
+    assert [(r["word"], round(r["n"], 6)) for r in words.collect()] == [(7, 1.6)]
+    placed = {r["doc_id"]: r["t4"] for r in level._document_levels(state, words, base).collect()}
+    assert placed[9] > 0.1  # three ungraded documents, its own grade left out

@@ -59,7 +59,6 @@ class ReadingLevel:
     prior: float = 2.0
     ungraded_weight: float = 0.2
     calibration_rows: int = 20_000
-    least_occurrences: float = 2.0
 
     def levels(self, documents: DataFrame, grades: DataFrame) -> DataFrame:
         """``documents``: doc_id, text.  ``grades``: doc_id, grade.  Result: ``doc_id, level, difficulty``."""
@@ -98,9 +97,9 @@ class ReadingLevel:
         return written(joined.dropDuplicates(["doc_id"]).select("doc_id", "words", "graded", "w", *[f"y{k}" for k in STEPS]), "word-occurrences")
 
     def _difficulties(self, state: DataFrame, base: list[float]) -> DataFrame:
-        """``word, n, s2, s3, s4``: weighted occurrences of each word and how many of them reach each step."""
+        """``word, n, s2, s3, s4``: weighted occurrences of each word of several documents and how many of them reach each step."""
         each = state.select(F.explode("words").alias("word"), "w", *[(F.col("w") * F.col(f"y{k}")).alias(f"y{k}") for k in STEPS])
-        return each.groupBy("word").agg(F.sum("w").alias("n"), *[F.sum(f"y{k}").alias(f"s{k}") for k in STEPS]).where(F.col("n") >= self.least_occurrences)
+        return each.groupBy("word").agg(F.sum("w").alias("n"), *[F.sum(f"y{k}").alias(f"s{k}") for k in STEPS], F.count(F.lit(1)).alias("seen")).where(F.col("seen") > 1).drop("seen")
 
     def _document_levels(self, state: DataFrame, words: DataFrame, base: list[float]) -> DataFrame:
         """``doc_id, graded, y*, t*``: mean difficulty of each document's words, its own grades left out."""
@@ -112,8 +111,8 @@ class ReadingLevel:
             share = (F.col(f"s{k}") - F.coalesce(F.col("own") * F.col(f"y{k}"), F.lit(0.0)) + self.prior * b) / (n + self.prior)
             share = F.least(F.greatest(share, F.lit(1e-6)), F.lit(1 - 1e-6))
             terms.append(F.avg(F.log(share / (1 - share))).alias(f"t{k}"))
-        # a word seen in this document only says nothing about it
-        per = each.where(n >= 1).groupBy("doc_id").agg(*terms)
+        # a word seen in this document only says nothing about it; the prior, not a cut-off, holds back rare ones
+        per = each.where(n > 1e-6).groupBy("doc_id").agg(*terms)
         out = state.select("doc_id", "graded", *[f"y{k}" for k in STEPS]).join(per, "doc_id", "left")
         return out.select("doc_id", "graded", *[f"y{k}" for k in STEPS], *[F.coalesce(F.col(f"t{k}"), F.lit(float(np.log(b / (1 - b))))).alias(f"t{k}") for k, b in zip(STEPS, base)])
 
