@@ -52,3 +52,9 @@ def test_against_sql(spark, name):
     got, want = entry.queries()[name](spark, SF).toPandas(), con.execute(entry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert canonical(got) == canonical(want)
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["stream_load_whole", "staged_load_whole", "ingest_whole", "insert_whole"])
+def test_whole_loads_against_sql(spark, name):
+    test_against_sql(spark, name)

@@ -440,6 +440,47 @@ def staged_load_adopted(spark, sf_dir):
     return _state(e, name)
 
 
+_WHOLE = "SELECT event_id, ts, user_id, event_type, value + 0.5 AS value, props FROM events"
+
+
+@query(_WHOLE)
+def stream_load_whole(spark, sf_dir):
+    """All rows of the table in one load, hot and cold."""
+    e = base(spark, sf_dir)
+    name = clone(e, "events")
+    e.stream_load(name, "one", table(spark, sf_dir, "events").withColumn("value", F.col("value") + 0.5), spool_rows=1_000_000_000)
+    return _state(e, name)
+
+
+@query(f"""SELECT event_id, ts, user_id, event_type, CASE WHEN ts < {CUT_SQL} AND event_id % 10 = 0 THEN value + 1 ELSE value + 0.5 END AS value, props
+FROM events WHERE NOT (ts < {CUT_SQL} AND event_id % 10 = 1)""")
+def staged_load_whole(spark, sf_dir):
+    """All rows in one load whose cold rows are staged as lake files and adopted; adoption leaves the overlay alone, so pending corrections still win."""
+    e = base(spark, sf_dir)
+    name = clone(e, "events")
+    e.stream_load(name, "one", table(spark, sf_dir, "events").withColumn("value", F.col("value") + 0.5), spool_rows=10)
+    e.adopt_loads(name)
+    return _state(e, name)
+
+
+@query(WITH + "SELECT * FROM seam UNION ALL SELECT event_id + 50000000, ts - INTERVAL 365 DAY, user_id, event_type, value, props FROM events")
+def ingest_whole(spark, sf_dir):
+    """All rows, a year earlier and under keys of their own, added to the lake."""
+    e = base(spark, sf_dir)
+    name = clone(e, "events")
+    e.ingest(name, table(spark, sf_dir, "events").withColumn("event_id", F.col("event_id") + 50000000).withColumn("ts", F.expr("ts - INTERVAL 365 DAY")))
+    return _state(e, name)
+
+
+@query(WITH + "SELECT * FROM seam UNION ALL SELECT event_id + 10000000, ts, user_id, event_type, value, props FROM events")
+def insert_whole(spark, sf_dir):
+    """All rows under keys of their own, routed to both tiers."""
+    e = base(spark, sf_dir)
+    name = clone(e, "events")
+    e.insert(name, table(spark, sf_dir, "events").withColumn("event_id", F.col("event_id") + 10000000))
+    return _state(e, name)
+
+
 @query(WITH + "SELECT * FROM seam")
 def small_files_rewritten(spark, sf_dir):
     e = base(spark, sf_dir)
