@@ -75,11 +75,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts the lineage and survives lost executors."""
+def written(df: DataFrame, label: str, *folders: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts the lineage and survives lost executors.  ``folders``: columns whose values lie in files of their own; a filter on them reads nothing else."""
     path = scratch_path(df.sparkSession, label)
     _SCRATCH.append(path)
-    df.write.parquet(path)
+    (df.write.partitionBy(*folders) if folders else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
