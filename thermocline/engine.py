@@ -17,7 +17,7 @@ from thermocline.plans.modes import TableMode
 from thermocline.sources.lake import LakePartition
 from thermocline.streaming.loads import Loads
 from thermocline.streaming.mirror import Mirror
-from thermocline.table import TieredTable
+from thermocline.table import CutLine, TieredTable
 
 
 def overlay_settings(profile: Mapping[str, str], credential: Mapping[str, str] | None = None, environment: Mapping[str, str] | None = None) -> dict[str, str]:
@@ -50,8 +50,8 @@ class Engine(Reads, Writes, Movement, Loads, Mirror, Maintenance):
             os.makedirs(self.root, exist_ok=True)
             catalog_path = f"{self.root}/catalog.db"
         self.catalog = Catalog(catalog_path, **catalog_options)
-        self._positions: dict[int, int] = {}
         self._fail_at: str | None = None
+        self._at_pause: dict = {}
 
     def table(self, name: str) -> TieredTable:
         row = self.catalog.lookup(name)
@@ -115,15 +115,24 @@ class Engine(Reads, Writes, Movement, Loads, Mirror, Maintenance):
             done["maintained"] = self.maintain(name)
         return done
 
-    def options(self, name: str) -> dict:
+    def options(self, name: str, credential: Mapping[str, str] | None = None) -> dict:
         """Effective storage settings of a table."""
         t = self.table(name)
-        return overlay_settings(self.catalog.profile(t.row["profile"]))
-
-    def seam_sql(self, name: str) -> str:
-        """SQL text of a table's current state over temp views of its parts, for use in ``spark.sql``."""
+        return overlay_settings(self.catalog.profile(t.row["profile"]), credential)
+
+    def use_storage(self, name: str, credential: Mapping[str, str] | None = None) -> dict:
+        """Hands a table's storage settings to the file systems that this session opens from now on: keys that begin with ``fs.`` as they are."""
+        found = self.options(name, credential)
+        conf = self.spark._jsc.hadoopConfiguration()
+        for k, v in found.items():
+            if k.startswith("fs."):
+                conf.set(k, str(v))
+        return found
+
+    def seam_sql(self, name: str, pin: str | None = None) -> str:
+        """SQL text of a table's state, the current one or that of a live ``pin``, over temp views of its parts, for use in ``spark.sql``."""
         t = self.table(name)
-        cut = t.cut()
+        cut = t.cut() if pin is None else CutLine(*self.catalog.pinned_at(pin, t.id), t.cut().r)
         if t.mode.heap_complete:
             t.heap().createOrReplaceTempView(f"{name}_heap")
             return f"SELECT * FROM {name}_heap"

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from thermocline.catalog import BaseMoved
 from thermocline.operators.incremental import after_key
 from thermocline.operators.support import written
+from thermocline.sources.jsonl import read_jsonl
 from thermocline.sources.lake import Snapshot
 from thermocline.table import TieredTable
 
@@ -22,9 +24,35 @@ class MovementError(RuntimeError):
     """A movement was refused before any side effect."""
 
 
+#: How often a commit is done again when another writer published first.
+COMMIT_TRIES = 8
+
+
 class Movement:
     """Movement methods of the engine."""
 
+    def commit_lake(self, t: TieredTable, make: Callable[[Snapshot], Snapshot], publish: Callable[[Snapshot], None]) -> Snapshot:
+        """Commits to the lake: ``make`` builds a snapshot on the published one, ``publish`` makes it and what belongs to it visible in one transaction.
+
+        The transaction holds only while the base is still the published snapshot.  If another
+        writer came first, ``make`` runs again on what that one published, so neither undoes the other.
+        """
+        for _ in range(COMMIT_TRIES):
+            base = t.lake.snapshot(self.catalog.cutline(t.id)["s"])
+            made = make(base)
+            self.pause_point("made")
+            try:
+                with self.catalog.transaction():
+                    self.catalog.expect(t.id, s=base.number)
+                    if made.number != base.number:
+                        self.catalog.advance(t.id, self.catalog.cutline(t.id)["t"], made.number)
+                    publish(made)
+                return made
+            except BaseMoved:
+                if made.number != base.number:
+                    t.lake.discard(made)
+        raise MovementError(f"{t.name}: other writers published first {COMMIT_TRIES} times")
+
     # partitions -----------------------------------------------------------
 
     def add_partition(self, name: str, lo, hi, partition_id: str | None = None) -> str:
@@ -97,18 +125,25 @@ class Movement:
                     self.catalog.transition(t.id, p["partition_id"], state)
                     p = {**p, "state": state}
         rows = t.heap(low=cut.t, high=new_t).where(t.hot(cut.t) & t.cold(new_t))
-        base = t.lake.snapshot(cut.s)
         stamps = {"op-id": op, "op-kind": "tiering", "table-id": str(t.id), "new-tier-key-hi": str(new_t)}
         files = t.lake.write(rows)
         self.fail_point("before-commit")
-        s = t.lake.commit(base, add=files, stamps=stamps).number if files else cut.s
-        self.fail_point("after-commit")
-        self._finish_tiering(t, op, new_t, s)
+
+        def publish(made: Snapshot) -> None:
+            self.fail_point("after-commit")
+            self.catalog.expect(t.id, t=cut.t)
+            self._finish_tiering(t, op, new_t, made.number)
+
+        self.commit_lake(t, lambda base: t.lake.commit(base, add=files, stamps=stamps) if files else base, publish)
         self.reclaim(name)
         return new_t
 
     def _contiguous(self, t: TieredTable, limit: int) -> list[dict]:
-        """Partitions from the cut-line on up to a hole, as far as they end within the limit; a hole right at the cut-line is an error."""
+        """Partitions from the cut-line on as far as they end within the limit.
+
+        The run stops at a hole and moves what lies before it; the next cycle begins at the hole
+        and reports it as an error, since rows in it would be passed over.
+        """
         cut = t.cut().t
         parts = [dict(p) for p in self.catalog.partitions(t.id) if p["state"] in ("hot", "sealing", "tiering")]
         chosen, expected = [], cut
@@ -138,6 +173,7 @@ class Movement:
         out = []
         for op in self.catalog.open_ops(t.id):
             details = json.loads(op["details"])
+            # a snapshot on an older base is void: what it lacks would be undone
             made = t.lake.stamped(self.catalog.cutline(t.id)["s"], **{"op-id": op["op_id"]})
             if made is not None and op["kind"] == "tiering":
                 self._finish_tiering(t, op["op_id"], int(details["new-tier-key-hi"]), made.number)
@@ -181,27 +217,31 @@ class Movement:
         t = self.table(name)
         if self.catalog.pinned(t.id) or not t.overlay_keys():
             return None
-        segments, cut = t.overlay_segments(), t.cut()
-        rows = t.overlay(segments)
-        chosen = written(rows.orderBy("version", "pk").limit(batch), "fold")
-        top = chosen.agg(F.max("version")).first()[0]
-        op = uuid.uuid4().hex
-        self.catalog.log_op(op, t.id, "compaction", "flushing", details={"version": top})
-        made = self._replace(t, t.lake.snapshot(cut.s), chosen, {"op-id": op, "op-kind": "compaction", "folded-version": str(top)}, merge_on_read)
-        self.fail_point("after-fold-commit")
-        self.catalog.log_op(op, t.id, "compaction", "committed", made.number)
-        with self.catalog.transaction():
-            now = t.overlay_segments()
-            left = self._without_folded(t, now, chosen)
-            self.catalog.publish_fold(t.id, made.number, top, left)
-            self.catalog.log_op(op, t.id, "compaction", "advanced", made.number)
-        return made.number
+        op, left = uuid.uuid4().hex, []
+        self.catalog.log_op(op, t.id, "compaction", "flushing")
+
+        def make(base: Snapshot) -> Snapshot:
+            segments = t.overlay_segments()
+            rows = t.overlay(segments)
+            chosen = written(rows.orderBy("version", "pk").limit(batch), "fold")
+            top = chosen.agg(F.max("version")).first()[0]
+            left[:] = [segments, top, *self._without_folded(t, segments, chosen)]
+            if top is None:
+                return base
+            return self._replace(t, base, chosen, {"op-id": op, "op-kind": "compaction", "folded-version": str(top)}, merge_on_read)
+
+        def publish(made: Snapshot) -> None:
+            self.fail_point("after-fold-commit")
+            segments, top, kept, n = left
+            self.catalog.publish_fold(t.id, made.number, top or 0, (kept, n), folded=segments)
+            self.catalog.log_op(op, t.id, "compaction", "advanced", made.number, {"version": top})
+
+        return self.commit_lake(t, make, publish).number
 
     def _without_folded(self, t: TieredTable, segments: list[str], folded: DataFrame) -> tuple[list[str], int]:
-        left = t.overlay(segments).join(folded.select("pk", "version"), ["pk", "version"], "left_anti").select(*t.overlay_schema().names)
-        path = f"{t.root}/overlay/{uuid.uuid4().hex}"
-        left.write.parquet(path)
-        n = t.spark.read.parquet(path).count()
+        """The overlay of ``segments`` less the folded keys, as one segment.  Rows of a key older than the folded one were merged into it."""
+        left = t.overlay(segments).join(folded.select("pk", F.col("version").alias("_folded")), "pk", "left").where(F.col("_folded").isNull() | (F.col("version") > F.col("_folded")))
+        path, n = t.write_segment(left)
         return ([path], n) if n else ([], 0)
 
     def _replace(self, t: TieredTable, base: Snapshot, changes: DataFrame, stamps: dict, merge_on_read: bool = False) -> Snapshot:
@@ -236,29 +276,36 @@ class Movement:
             return None
         cut, width = t.cut(), t.key.lag(width)
         line = cut.t - lag
-        caps = [p["lo"] for p in self.catalog.partitions(t.id) if p["state"] in ("hot", "sealing", "tiering")]
+        # a tiered partition whose heap rows wait for reclaim holds the line back as well
+        caps = [p["lo"] for p in self.catalog.partitions(t.id) if p["state"] != "dropped" and (p["state"] != "tiered" or p["partition_id"] in self._with_heap_rows(t))]
         caps += [json.loads(x["staged"])["lo"] for x in self.catalog.loads(t.id, "staged") if x["staged"]]
         line = min([line, *caps])
         line -= line % width
         if cut.r is not None and line <= cut.r:
             return None
-        base = t.lake.snapshot(cut.s)
-        gone = [f for f in base.files if f.high is None or f.high < line]
-        if any(f.low is not None and f.low < line <= f.high for f in base.files if f.high is not None):
-            raise MovementError(f"a lake file straddles {line}")
-        op = uuid.uuid4().hex
-        made = t.lake.commit(base, drop=[f.path for f in gone], stamps={"op-id": op, "op-kind": "maintenance", "retention": str(line)}) if gone else base
-        keep = None
-        if t.overlay_keys():
-            path = f"{t.root}/overlay/{uuid.uuid4().hex}"
-            t.overlay().where(F.col("tier_key") >= line).write.parquet(path)
-            keep = ([path], t.spark.read.parquet(path).count())
-        with self.catalog.transaction():
+        op, keep = uuid.uuid4().hex, []
+
+        def make(base: Snapshot) -> Snapshot:
+            gone = [f for f in base.files if f.high is None or f.high < line]
+            if any(f.low is not None and f.low < line <= f.high for f in base.files if f.high is not None):
+                raise MovementError(f"a lake file straddles {line}")
+            segments = t.overlay_segments()
+            keep[:] = [segments, *(t.write_segment(t.overlay(segments).where(F.col("tier_key") >= line)) if segments else (None, 0))]
+            return t.lake.commit(base, drop=[f.path for f in gone], stamps={"op-id": op, "op-kind": "maintenance", "retention": str(line)}) if gone else base
+
+        def publish(made: Snapshot) -> None:
+            segments, path, n = keep
             self.catalog.publish_retention(t.id, line, made.number)
-            if keep is not None:
-                self.catalog.set_overlay(t.id, *(keep if keep[1] else ([], 0)))
+            if segments:
+                self.catalog.replace_segments(t.id, segments, [path] if n else [], n)
+
+        self.commit_lake(t, make, publish)
         return line
 
+    def _with_heap_rows(self, t: TieredTable) -> set[str]:
+        """Partitions that heap files are still listed under."""
+        return {f["partition_id"] for f in self.catalog.heap_files(t.id)} if not t.mode.keep_heap else set()
+
     def expire_mirrored_heap(self, name: str, newest: int) -> int | None:
         """Heap retention of a mirrored table: partitions behind the lag leave the heap once the mirror has passed the position at which they were first seen so.
 
@@ -306,26 +353,30 @@ class Movement:
             raise MovementError("a row has no tier key")
         if high >= cut.t or cut.r is not None and low < cut.r:
             raise MovementError(f"tier keys {low}..{high} leave the window [{cut.r}, {cut.t})")
-        base = t.lake.snapshot(cut.s)
-        op = op_id or uuid.uuid4().hex
-        stamps = {"op-id": op, "op-kind": "ingest"}
-        with self._direct_lock(t):
+        stamps = {"op-id": op_id or uuid.uuid4().hex, "op-kind": "ingest"}
+        appended = []
+
+        def make(base: Snapshot) -> Snapshot:
             if t.lake.may_match(base, low, high + 1):
-                keys = t.lake.with_band(rows).select(*t.keys, "_band")
-                made = t.lake.replace_keys(base, keys, rows, stamps)
-            else:
-                made = t.lake.commit(base, add=t.lake.write(rows), stamps=stamps)
-            self.catalog.advance(t.id, cut.t, made.number)
-        return made.number
+                return t.lake.replace_keys(base, t.lake.with_band(rows).select(*t.keys, "_band"), rows, stamps)
+            if not appended:
+                appended.extend(t.lake.write(rows))
+            return t.lake.commit(base, add=appended, stamps=stamps)
+
+        def publish(made: Snapshot) -> None:
+            r = self.catalog.cutline(t.id)["r"]
+            if r is not None and low < r:
+                raise MovementError(f"the retention line moved to {r}")
+
+        return self.commit_lake(t, make, publish).number
 
     def ingest_files(self, name: str, paths: Sequence[str]) -> int:
         """Adopts Parquet files; columns are matched by name."""
         return self.ingest(name, self.spark.read.parquet(*paths))
 
-    def _direct_lock(self, t: TieredTable):
-        from contextlib import nullcontext
-
-        return self.catalog.lake_lock(t.id) if t.mode.direct else nullcontext()
+    def ingest_jsonl(self, name: str, path: str) -> int:
+        """Adopts JSON lines; a line that doesn't fit the table ends the run before any effect and is named by its number."""
+        return self.ingest(name, read_jsonl(self.spark, path, self.table(name).schema))
 
     # initial copy ---------------------------------------------------------
 
@@ -345,9 +396,8 @@ class Movement:
         t = self.table(name)
         progress = self.catalog.copy_progress(t.id)
         if chunk_rows is None:
-            base = t.lake.snapshot(t.cut().s)
-            made = t.lake.commit(base, add=t.lake.write(t.heap()), stamps={"op-kind": "mirror", "commit-lsn": str(consistent_point)})
-            self.catalog.advance_frontier(t.id, consistent_point, made.number)
+            files = t.lake.write(t.heap())
+            self.commit_lake(t, lambda base: t.lake.commit(base, add=files, stamps={"op-kind": "mirror", "commit-lsn": str(consistent_point)}), lambda made: self.catalog.advance_frontier(t.id, consistent_point, made.number))
             return True
         last = json.loads(progress["last_key"]) if progress and progress["last_key"] else None
         done = 0
@@ -356,12 +406,9 @@ class Movement:
             n = chunk.count()
             if n:
                 keys = t.lake.with_band(chunk).select(*t.keys, "_band")
-                made = t.lake.replace_keys(t.lake.snapshot(t.cut().s), keys, chunk, {"op-kind": "mirror"})
                 top = chunk.orderBy(*[F.desc(k) for k in t.keys]).select(*[F.col(k).cast("string") for k in t.keys]).first()
                 last = list(top)
-                with self.catalog.transaction():
-                    self.catalog.advance(t.id, self.catalog.cutline(t.id)["t"], made.number)
-                    self.catalog.note_copy(t.id, consistent_point, last)
+                self.commit_lake(t, lambda base: t.lake.replace_keys(base, keys, chunk, {"op-kind": "mirror"}), lambda made: self.catalog.note_copy(t.id, consistent_point, last))
                 done += 1
             if n < chunk_rows:
                 with self.catalog.transaction():
@@ -380,3 +427,12 @@ class Movement:
 
     def crash_at(self, where: str | None) -> None:
         self._fail_at = where
+
+    def pause_point(self, where: str) -> None:
+        """Runs once what a test asked to happen here, so that two writers can be made to meet."""
+        act = self._at_pause.pop(where, None)
+        if act is not None:
+            act()
+
+    def meanwhile(self, act: Callable[[], object], where: str = "made") -> None:
+        self._at_pause[where] = act

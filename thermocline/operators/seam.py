@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import threading
 import time
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, functions as F
@@ -13,6 +16,10 @@ from thermocline.plans.predicate import Reach, bounds, classify, tier_predicate
 from thermocline.table import OVERLAY_BROADCAST_KEYS, TieredTable
 
 
+# What separates the parts of a token.
+TOKEN_SEPARATOR = "\x1f"
+
+
 class NeverCommitted(RuntimeError):
     """A strict read needs a lake snapshot and there is none."""
 
@@ -48,18 +55,18 @@ def scan(t: TieredTable, cut: int, snapshot: int, *, where: str | None = None, r
     """The whole table at (cut, snapshot).  With ``where`` the half that can't match isn't read."""
     kind = t.mode.cold_read
     if t.mode.heap_complete:
-        low, high = bounds(tier_predicate(t.spark, where, t.tier, t.key))
+        low, high = bounds(tier_predicate(t.spark, where, t.tier, t.key, t.tier_dtype))
         rows = t.heap(low, high)
         return rows.where(where) if where else rows
-    predicate = tier_predicate(t.spark, where, t.tier, t.key)
+    predicate = tier_predicate(t.spark, where, t.tier, t.key, t.tier_dtype)
     reach, (low, high) = reach or (classify(predicate, cut) if where else Reach.MIXED), bounds(predicate)
     halves = []
     if reach is not Reach.COLD:
         halves.append(hot_rows(t, cut, low, high))
     if reach is not Reach.HOT:
         live = kind is Cold.LIVE
-        numbers = t.lake.numbers() if live else []
-        halves.append(cold_rows(t, cut, (numbers[-1] if numbers else 0) if live else snapshot, overlay=not live, low=low, high=high))
+        # a live lake is read at what is published now, whatever was pinned
+        halves.append(cold_rows(t, cut, t.cut().s if live else snapshot, overlay=not live, low=low, high=high))
     rows = halves[0] if len(halves) == 1 else halves[0].unionByName(halves[1])
     return rows.where(where) if where else rows
 
@@ -117,12 +124,16 @@ class Reads:
         if not self.wait_for_mirror(t.name, wait_ms):
             return ReadHandle(self, scan(t, 0, 0, where=where))
         pin, _, snapshot = self.catalog.pin(t.id, ttl)
-        top = t.heap().agg(F.max(t.canonical())).first()[0]
-        if not snapshot or top is None:
-            return ReadHandle(self, t.heap().where(where or "true"), [pin])
-        cut = top - t.key.lag(lag)
-        rows = hot_rows(t, cut).unionByName(cold_rows(t, cut, snapshot, overlay=False))
-        return ReadHandle(self, rows.where(where) if where else rows, [pin])
+        try:
+            top = self.high_water(t)
+            if not snapshot or top is None:
+                return ReadHandle(self, t.heap().where(where or "true"), [pin])
+            cut = top - t.key.lag(lag)
+            rows = hot_rows(t, cut).unionByName(cold_rows(t, cut, snapshot, overlay=False))
+            return ReadHandle(self, rows.where(where) if where else rows, [pin])
+        except BaseException:
+            self.catalog.unpin(pin)
+            raise
 
     def wait_for_mirror(self, name: str, wait_ms: int = 5000, poll_ms: int = 50) -> bool:
         """Waits until the mirror's frontier has reached the newest change; False when the time is up."""
@@ -138,28 +149,66 @@ class Reads:
             time.sleep(poll_ms / 1000)
 
     def newest_position(self, t: TieredTable) -> int | None:
-        """Position of the newest change of a mirrored table; sources set it through :meth:`note_position`."""
-        return self._positions.get(t.id)
+        """Position of the newest change of a mirrored table, kept in the catalog; sources set it through :meth:`note_position`."""
+        return self.catalog.newest(t.id)
 
     def note_position(self, name: str, position: int) -> None:
-        self._positions[self.table(name).id] = position
+        self.catalog.set_newest(self.table(name).id, position)
 
     def register_views(self, *names: str, pin_ttl: float = 900) -> ReadHandle:
         """Temp views of the named tables (default: all), each at one pinned state, so that any SQL sees them."""
-        pins = []
-        for row in self.catalog.tables():
-            if not names or row["name"] in names:
-                h = self.read(row["name"], pin_ttl=pin_ttl)
-                pins += h.pins
-                h.df.createOrReplaceTempView(row["name"])
-        return ReadHandle(self, None, pins)
+        views = ReadHandle(self, None)
+        try:
+            for row in self.catalog.tables():
+                if not names or row["name"] in names:
+                    h = self.read(row["name"], pin_ttl=pin_ttl)
+                    views.pins += h.pins
+                    h.df.createOrReplaceTempView(row["name"])
+        except BaseException:
+            views.close()
+            raise
+        return views
+
+    def named_tables(self, text: str) -> list[str]:
+        """Registered tables that a statement names, by Spark's own parser; names of CTEs and other views are none."""
+        plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+        found = {n.split(",")[-1].strip().lower() for n in re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan.treeString())}
+        return [r["name"] for r in self.catalog.tables() if r["name"].lower() in found]
 
     def sql(self, text: str, pin_ttl: float = 900) -> ReadHandle:
-        """Runs a query over all registered tables: joins, CTEs, subqueries, aggregates and windows alike."""
-        views = self.register_views(pin_ttl=pin_ttl)
-        return ReadHandle(self, self.spark.sql(text), views.pins)
+        """Runs a query over registered tables: joins, CTEs, subqueries, aggregates and windows alike.  Only the tables that it names are pinned."""
+        names = self.named_tables(text)
+        views = self.register_views(*names, pin_ttl=pin_ttl) if names else ReadHandle(self, None)
+        try:
+            return ReadHandle(self, self.spark.sql(text), views.pins)
+        except BaseException:
+            views.close()
+            raise
 
-    def preview(self, text: str, rows: int = 1000) -> list[dict]:
-        """The first rows of a query, for display."""
+    def preview(self, text: str, rows: int = 1000, seconds: float = 30) -> list[dict]:
+        """The first rows of a query, for display; it is cancelled after ``seconds``."""
+        context, tag = self.spark.sparkContext, f"preview-{uuid.uuid4().hex}"
+        late = threading.Timer(seconds, context.cancelJobsWithTag, [tag])
         with self.sql(text) as df:
-            return [r.asDict() for r in df.limit(rows).collect()]
+            context.addJobTag(tag)
+            late.start()
+            try:
+                return [r.asDict() for r in df.limit(rows).collect()]
+            finally:
+                late.cancel()
+                context.removeJobTag(tag)
+
+    # tokens ---------------------------------------------------------------
+
+    def cold_token(self, name: str) -> str:
+        """An opaque name of the cold half that a read would see now: a pinned snapshot, or the live lake of a direct table."""
+        t, cut = self.table(name), self.table(name).cut()
+        return TOKEN_SEPARATOR.join(["live", t.name] if t.mode.direct else ["lake", t.name, str(cut.s)])
+
+    def read_token(self, token: str) -> DataFrame:
+        """Rows of the lake that a token names."""
+        kind, name, *rest = token.split(TOKEN_SEPARATOR)
+        if (kind, len(rest)) not in (("live", 0), ("lake", 1)) or rest and not rest[0].isdigit():
+            raise ValueError(f"no token: {token!r}")
+        t = self.table(name)
+        return t.lake.scan(t.lake.snapshot(t.cut().s if kind == "live" else int(rest[0])))

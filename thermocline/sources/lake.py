@@ -73,14 +73,15 @@ class Snapshot:
     deletes: list[DeleteFile] = field(default_factory=list)
     stamps: dict[str, str] = field(default_factory=dict)
     made_at: float = 0.0
+    base: int = 0
 
     def to_json(self) -> str:
-        return json.dumps({"number": self.number, "made_at": self.made_at, "stamps": self.stamps, "files": [vars(f) for f in self.files], "deletes": [vars(d) for d in self.deletes]})
+        return json.dumps({"number": self.number, "base": self.base, "made_at": self.made_at, "stamps": self.stamps, "files": [vars(f) for f in self.files], "deletes": [vars(d) for d in self.deletes]})
 
     @classmethod
     def from_json(cls, text: str) -> Snapshot:
         x = json.loads(text)
-        return cls(x["number"], [DataFile(**f) for f in x["files"]], [DeleteFile(**d) for d in x["deletes"]], x["stamps"], x["made_at"])
+        return cls(x["number"], [DataFile(**f) for f in x["files"]], [DeleteFile(**d) for d in x["deletes"]], x["stamps"], x["made_at"], x.get("base", 0))
 
 
 class Lake:
@@ -105,22 +106,36 @@ class Lake:
         return Snapshot.from_json(self.store.read_text(self._snapshot_path(number)))
 
     def commit(self, base: Snapshot, *, add: Iterable[DataFile] = (), drop: Iterable[str] = (), add_deletes: Iterable[DeleteFile] = (), drop_deletes: Iterable[str] = (), stamps: dict[str, str] | None = None) -> Snapshot:
-        """A new snapshot on top of ``base``; two writers can't make the same one."""
-        gone, gone_deletes = set(drop), set(drop_deletes)
+        """A new snapshot on top of ``base``; two writers can't make the same one.  It counts once the catalog publishes it, which it does only while ``base`` is the published one."""
+        gone, gone_deletes, add, add_deletes = set(drop), set(drop_deletes), list(add), list(add_deletes)
         number = max([base.number, *self.numbers()]) + 1
+        while True:
+            try:
+                return self._commit(base, number, gone, gone_deletes, add, add_deletes, stamps)
+            except Exception as e:
+                # another writer took the number
+                if not self.store.exists(self._snapshot_path(number)) or "exist" not in str(e).lower():
+                    raise
+                number += 1
+
+    def _commit(self, base: Snapshot, number: int, gone: set[str], gone_deletes: set[str], add: list[DataFile], add_deletes: list[DeleteFile], stamps: dict[str, str] | None) -> Snapshot:
         files = [f for f in base.files if f.path not in gone]
         files += [DataFile(**{**vars(f), "sequence": number}) for f in add]
         deletes = [d for d in base.deletes if d.path not in gone_deletes]
         deletes += [DeleteFile(**{**vars(d), "sequence": number}) for d in add_deletes]
-        made = Snapshot(number, files, deletes, dict(stamps or {}), time.time())
+        made = Snapshot(number, files, deletes, dict(stamps or {}), time.time(), base.number)
         self.store.write_text(self._snapshot_path(number), made.to_json())
         return made
 
+    def discard(self, made: Snapshot) -> None:
+        """Removes a snapshot that wasn't published; its files are swept as orphans."""
+        self.store.delete(self._snapshot_path(made.number))
+
     def stamped(self, after: int, **wanted: str) -> Snapshot | None:
-        """The newest snapshot after ``after`` that carries all the wanted stamps."""
+        """The newest snapshot made on top of ``after`` that carries all the wanted stamps.  One on an older base is void: it lacks what was published since."""
         for n in sorted((n for n in self.numbers() if n > after), reverse=True):
             s = self.snapshot(n)
-            if all(s.stamps.get(k) == v for k, v in wanted.items()):
+            if s.base == after and all(s.stamps.get(k) == v for k, v in wanted.items()):
                 return s
         return None
 

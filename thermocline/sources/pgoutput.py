@@ -136,8 +136,12 @@ class Decoder:
         return out
 
 
-def change_rows(messages: Iterator[bytes], relation_name: str) -> Iterator[dict]:
-    """Rows for :class:`thermocline.streaming.mirror.Mirror`: every change of one relation with its commit position, number within the feed and values as text."""
+def change_rows(messages: Iterator[bytes], relation_name: str, *, commits: bool = False) -> Iterator[dict]:
+    """Rows for :class:`thermocline.streaming.mirror.Mirror`: every change of one relation with its commit position, number within the feed and values as text.
+
+    With ``commits`` every transaction that changed the relation ends with a row of kind ``commit``,
+    so that a reader may cut the rows into batches anywhere.
+    """
     decoder, pending, number = Decoder(), [], 0
     for data in messages:
         m = decoder.decode(data)
@@ -154,4 +158,7 @@ def change_rows(messages: Iterator[bytes], relation_name: str) -> Iterator[dict]
         elif m.kind == "commit":
             for p in pending:
                 yield {"position": m.position, **p}
+            if commits and pending:
+                number += 1
+                yield {"position": m.position, "seq": number, "kind": "commit", "new": None, "old": None, "unchanged": []}
             pending = []

@@ -6,12 +6,12 @@ import json
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from thermocline.operators.support import written
 from thermocline.operators.writes import WriteRejected
 from thermocline.plans.modes import Side
-from thermocline.sources.lake import DataFile
+from thermocline.sources.lake import DataFile, Snapshot
 
 SPOOL_ROWS = 1000
 
@@ -46,13 +46,13 @@ class Loads:
             return LoadResult(label, r.get("hot_rows", 0), r.get("delta_rows", 0), r.get("staged_rows", 0), True)
         rows = written(t.typed(rows), "load")
         self._check(t, rows)
-        if not rows.groupBy(*t.keys).count().where("count > 1").isEmpty():
-            raise WriteRejected("a key repeats within the batch")
-        cut = t.cut().t
+        self._unique(t, rows)
+        at = t.cut()
+        cut = at.t
         complete = t.mode.heap_complete and not t.mode.keep_heap
         hot = rows if complete else rows.where(t.hot(cut))
         cold = rows.limit(0) if complete else rows.where(t.cold(cut))
-        n_hot, n_cold = hot.count(), cold.count()
+        n_hot, n_cold = (rows.count(), 0) if complete else rows.agg(F.count_if(t.hot(cut)), F.count_if(t.cold(cut))).first()
         plan = t.mode.insert(Side.COLD)
         if n_cold and plan.lake:
             raise WriteRejected("a direct table takes no cold rows from a load")
@@ -61,11 +61,10 @@ class Loads:
         if staged:
             files = t.lake.write(cold, "staging")
             manifest = {"files": [f.path for f in files], "lo": min(f.low for f in files), "hi": max(f.high for f in files), "entries": [vars(f) for f in files]}
-        p = self._publishing(t)
+        p = self._publishing(t, at)
         if n_hot or t.mode.keep_heap and n_cold:
             into_heap = rows if t.mode.keep_heap else hot
-            p.remove_heap_keys(into_heap.select(*t.keys))
-            p.add_heap(into_heap)
+            p.rewrite_heap(into_heap.select(*t.keys), into_heap, None if t.mode.heap_complete else cut)
         if n_cold and not staged:
             p.add_overlay(cold, 0)
         result = LoadResult(label, n_hot, 0 if staged else n_cold, n_cold if staged else 0)
@@ -81,32 +80,43 @@ class Loads:
         return result
 
     def adopt_loads(self, name: str) -> int | None:
-        """Takes all staged loads into the lake in one commit; returns the snapshot, or None if there are none."""
+        """Takes all staged loads into the lake in one commit; returns the snapshot, or None if there are none.
+
+        The labels become committed in the transaction that publishes the snapshot, all or none.
+        """
         t = self.table(name)
         staged = self.catalog.loads(t.id, "staged")
         if not staged:
             return None
-        cut = t.cut()
         labels = [x["label"] for x in staged]
         op = "adopt-" + uuid.uuid5(uuid.NAMESPACE_OID, json.dumps([t.id, labels])).hex
-        made = t.lake.stamped(cut.s, **{"op-id": op})
-        if made is None:
-            entries = [DataFile(**e) for x in staged for e in json.loads(x["staged"])["entries"]]
-            base = t.lake.snapshot(cut.s)
+        loads = [[DataFile(**e) for e in json.loads(x["staged"])["entries"]] for x in staged]
+        stamps = {"op-id": op, "op-kind": "load", "labels": json.dumps(labels)}
+
+        def make(base: Snapshot) -> Snapshot:
+            done = t.lake.stamped(base.number, **{"op-id": op})
+            if done is not None:
+                return done
+            entries = [e for files in loads for e in files]
             low, high = min(e.low for e in entries), max(e.high for e in entries)
-            stamps = {"op-id": op, "op-kind": "load"}
-            if t.lake.may_match(base, low, high + 1) or len(staged) > 1:
-                out = base
-                for x in staged:
-                    files = [DataFile(**e) for e in json.loads(x["staged"])["entries"]]
-                    rows = self.spark.read.schema(t.schema).parquet(*[f.path for f in files])
-                    out = t.lake.replace_keys(out, t.lake.with_band(rows).select(*t.keys, "_band"), rows, stamps)
-                made = out
-            else:
-                made = t.lake.commit(base, add=entries, stamps=stamps)
-        self.fail_point("after-adopt-commit")
-        self.catalog.finish_loads(t.id, labels, "committed", made.number)
-        return made.number
+            if len(loads) == 1 and not t.lake.may_match(base, low, high + 1):
+                return t.lake.commit(base, add=entries, stamps=stamps)
+            rows = None
+            for i, files in enumerate(loads):
+                part = self.spark.read.schema(t.schema).parquet(*[f.path for f in files]).withColumn("_load", F.lit(i))
+                rows = part if rows is None else rows.unionByName(part)
+            # every place that any of the loads names is cleared; of a key loaded several times the newest load stays
+            places = t.lake.with_band(rows).select(*t.keys, "_band")
+            if len(loads) > 1:
+                newest = rows.groupBy(*t.keys).agg(F.max("_load").alias("_load"))
+                rows = rows.join(newest, [*t.keys, "_load"])
+            return t.lake.replace_keys(base, places, rows.select(*t.schema.names), stamps)
+
+        def publish(made: Snapshot) -> None:
+            self.fail_point("after-adopt-commit")
+            self.catalog.finish_loads(t.id, labels, "committed", made.number)
+
+        return self.commit_lake(t, make, publish).number
 
     def fail_load(self, name: str, label: str) -> None:
         """Gives up a staged load; its files are swept after the grace period."""
@@ -119,5 +129,3 @@ class Loads:
             self.stream_load(name, f"{prefix}-{batch_id}", batch)
 
         return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-

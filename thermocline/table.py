@@ -6,7 +6,7 @@ import json
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from thermocline.catalog import Catalog
 from thermocline.functions.keys import TierKeyType, key_text
@@ -14,8 +14,10 @@ from thermocline.plans.modes import TableMode
 from thermocline.sources.lake import Lake, LakePartition
 from thermocline.sources.store import Store
 
-#: The overlay is broadcast up to so many keys; its exact count is kept in the catalog.
+#: The overlay is broadcast up to so many keys; the catalog keeps a bound of their number.
 OVERLAY_BROADCAST_KEYS = 100_000
+#: Segments of the overlay that a read merges; a write that makes more merges them into one.
+OVERLAY_SEGMENTS = 8
 
 
 @dataclass
@@ -118,16 +120,18 @@ class TieredTable:
             return rows
         return newest_wins(rows)
 
-    def append_overlay(self, changes: DataFrame) -> tuple[list[str], int]:
-        """Writes a segment of ``changes`` merged with what is there; returns the new segments and key count.
-
-        The overlay is kept to one merged segment: its size is bounded by folding, and a read
-        then never merges.
-        """
-        path = f"{self.root}/overlay/{uuid.uuid4().hex}"
-        both = self.overlay().unionByName(changes.select("pk", "op", "tier_key", "old_tier_key", "version", "image"))
-        newest_wins(both).write.parquet(path)
-        return [path], self.spark.read.parquet(path).count()
+    def write_segment(self, changes: DataFrame) -> tuple[str, int]:
+        """Writes a segment of corrections, one per key; returns its path and number of rows.  Publishes nothing."""
+        path, seen = f"{self.root}/overlay/{uuid.uuid4().hex}", Observation()
+        changes.select(*self.overlay_schema().names).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        return path, seen.get["n"]
+
+    def merge_segments(self, most: int = OVERLAY_SEGMENTS) -> None:
+        """Merges the overlay into one segment once it has more than ``most``; reads merge what is there until then."""
+        old = self.overlay_segments()
+        if len(old) > most:
+            path, n = self.write_segment(newest_wins(self.spark.read.schema(self.overlay_schema()).parquet(*old)))
+            self.catalog.replace_segments(self.id, old, [path], n)
 
     def overlay_keys(self) -> int:
         return self.catalog.overlay(self.id)["keys"]
