@@ -7,7 +7,6 @@ key range, keeping repeated records.
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -15,7 +14,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, Window, functions as F
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from thermocline.functions.paths import canonical_path
 from thermocline.operators.support import written
@@ -167,23 +167,27 @@ class SortedRunMerger:
     def merge(self, group_id: str, paths: Sequence[str], low: int | None = None, high: int | None = None) -> Iterator[dict]:
         if not paths:
             return
-        schema = pa.unify_schemas([pq.read_schema(_local(p)) for p in paths])
+        schema = pa.unify_schemas([pq.read_schema(where, filesystem=at) for at, where in map(_at, paths)])
+        disk, folder = _at(self.out_dir)
+        disk.create_dir(folder, recursive=True)
         scratch: list[str] = []
         runs: list = [(p, low, high) for p in paths]
         while len(runs) > self.fan_in:
             passed = []
             for i in range(0, len(runs), self.fan_in):
-                out = os.path.join(_local(self.out_dir), f"_run-{uuid.uuid4().hex}.parquet")
-                os.makedirs(_local(self.out_dir), exist_ok=True)
-                with pq.ParquetWriter(out, schema) as writer:
+                # names that begin with _ are read by nobody, so a run that a lost task left is only space
+                out = f"{self.out_dir}/_run-{uuid.uuid4().hex}.parquet"
+                scratch.append(out)
+                with pq.ParquetWriter(_at(out)[1], schema, filesystem=disk) as writer:
                     for table in self._tables(runs[i : i + self.fan_in], schema):
                         writer.write_table(table)
                 passed.append((out, None, None))
-            scratch += [p for p, _, _ in passed]
             runs = passed
-        yield from self._roll(group_id, runs, schema)
-        for path in scratch:
-            os.unlink(path)
+        try:
+            yield from self._roll(group_id, runs, schema)
+        finally:
+            for path in scratch:
+                disk.delete_file(_at(path)[1])
 
     def _tables(self, runs: Sequence[tuple], schema: pa.Schema) -> Iterator[pa.Table]:
         """Merged rows as sorted tables.  What lies at or below the lowest last key of all buffers can't be preceded by rows still unread."""
@@ -204,7 +208,8 @@ class SortedRunMerger:
 
     def _batches(self, path: str, low: int | None, high: int | None, schema: pa.Schema) -> Iterator[pa.Table]:
         first = self.sort_columns[0]
-        file = pq.ParquetFile(_local(path))
+        disk, where = _at(path)
+        file = pq.ParquetFile(where, filesystem=disk)
         for batch in file.iter_batches(self.batch_rows, row_groups=self._row_groups(file, low, high)):
             t = pa.Table.from_batches([batch])
             t = pa.table([t[f.name].cast(f.type) if f.name in t.column_names else pa.nulls(t.num_rows, f.type) for f in schema], schema=schema)
@@ -247,7 +252,7 @@ class SortedRunMerger:
 
     def _roll(self, group_id: str, runs: Sequence[tuple], schema: pa.Schema) -> Iterator[dict]:
         """Writes merged rows, beginning a new file whenever the current one has reached the target."""
-        os.makedirs(_local(self.out_dir), exist_ok=True)
+        disk, folder = _at(self.out_dir)
         column, sink, pending, held = self.sort_columns[0], None, [], 0
 
         def flush() -> None:
@@ -258,8 +263,9 @@ class SortedRunMerger:
 
         for table in self._tables(runs, schema):
             if sink is None:
-                path = os.path.join(_local(self.out_dir), f"part-{uuid.uuid4().hex}.parquet")
-                sink = pa.OSFile(path, "wb")
+                name = f"part-{uuid.uuid4().hex}.parquet"
+                path = f"{self.out_dir}/{name}"
+                sink = disk.open_output_stream(f"{folder}/{name}")
                 writer, records, lower = pq.ParquetWriter(sink, schema), 0, table[column][0].as_py()
             pending.append(table)
             held += table.num_rows
@@ -280,8 +286,27 @@ class SortedRunMerger:
     @staticmethod
     def _made(group_id: str, path: str, records: int, lower: object, upper: object) -> dict:
         text = lambda v: None if v is None else str(v)
-        return {"group_id": group_id, "path": path, "records": records, "bytes": os.path.getsize(path), "lower": text(lower), "upper": text(upper)}
+        disk, where = _at(path)
+        return {"group_id": group_id, "path": path, "records": records, "bytes": disk.get_file_info(where).size, "lower": text(lower), "upper": text(upper)}
 
 
-def _local(path: str) -> str:
-    return path[len("file:") :].replace("//", "/", 1) if path.startswith("file:") else path
+def _at(path: str) -> tuple[fs.FileSystem, str]:
+    """File system of a path and the path within it; a path without scheme is on a folder that all executors mount."""
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), "/" + path[5:].lstrip("/") if path.startswith("file:") else path
+
+
+def list_sorted(spark: SparkSession, folder: str, column: str) -> DataFrame:
+    """``group_id, path, low, high, bytes, nulls`` of the Parquet files below ``folder``, as :func:`merge_orders` takes them: one group, ranges of ``column`` from a scan of it alone."""
+    rows = spark.read.parquet(folder)
+    key = F.col(column).cast("long")
+    per = rows.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count_if(key.isNull()).alias("nulls"), F.count(F.lit(1)).alias("records"))
+    return per.select(F.lit("all").alias("group_id"), "path", "low", "high", "bytes", "nulls", "records")
+
+
+def check_merge(listing: DataFrame, made: DataFrame) -> None:
+    """Raises unless the outputs hold as many records as the inputs: only then may they take their place."""
+    before, after = (df.agg(F.sum("records")).first()[0] or 0 for df in (listing, made))
+    if before != after:
+        raise RuntimeError(f"{before} records went into the merge and {after} came out")

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from thermocline.operators.support import partitions_for
+from thermocline.operators.support import partitions_for, written
 
 #: Bytes of file data that one bucket may stand for.
 BUCKET_BYTES = 16 << 20
@@ -46,19 +46,21 @@ def _aligned_types(left: DataFrame, right: DataFrame, fields: Sequence[str]) ->
 
 
 def _one_row_per_key(side: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Exact repeats folded in the map tasks; ``_several`` marks keys with different rows."""
-    content = F.xxhash64(*[F.col(c) for c in fields]) if fields else F.lit(0).cast("long")
-    grouped = side.select("table_id", "pk", F.struct(*[F.col(c) for c in fields], F.lit(0).alias("_")).alias("_r"), content.alias("_h"))
-    folded = grouped.groupBy("table_id", "pk").agg(F.min("_r").alias("_r"), F.min("_h").alias("_lo"), F.max("_h").alias("_hi"))
-    return folded.select("table_id", "pk", *[F.col(f"_r.{c}").alias(c) for c in fields], (F.col("_lo") != F.col("_hi")).alias("_several"))
+    """Exact repeats folded in the map tasks; ``_several`` marks keys with different rows, told by the lowest and the highest row themselves."""
+    row = F.struct(*[F.col(c) for c in fields], F.lit(0).alias("_"))
+    folded = side.select("table_id", "pk", row.alias("_r")).groupBy("table_id", "pk").agg(F.min("_r").alias("_r"), F.max("_r").alias("_top"))
+    return folded.select("table_id", "pk", *[F.col(f"_r.{c}").alias(c) for c in fields], (~F.col("_r").eqNullSafe(F.col("_top"))).alias("_several"))
 
 
 def _compare(fields: Sequence[str]):
     names = list(fields)
 
-    def keys(t: pa.Table) -> np.ndarray:
-        texts = pc.binary_join_element_wise(pc.cast(t["table_id"], pa.string()), t["pk"], "\x1e")
-        return np.array(texts.to_pylist(), dtype=object)
+    def keys(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of both sides as numbers of one dictionary, so that they are sorted and searched as integers."""
+        both = [pc.binary_join_element_wise(pc.cast(t["table_id"], pa.string()), t["pk"], "\x1e").cast(pa.large_string()) for t in (left, right)]
+        codes = pa.chunked_array([c for side in both for c in side.chunks], pa.large_string()).combine_chunks().dictionary_encode()
+        numbers = (codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes).indices.to_numpy()
+        return numbers[: left.num_rows], numbers[left.num_rows :]
 
     def cells(t: pa.Table, rows: np.ndarray, kind: str, field: str) -> pa.Table:
         at = pa.array(rows)
@@ -74,7 +76,7 @@ def _compare(fields: Sequence[str]):
         return np.asarray(pc.or_(unequal, one_null))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        lk, rk = keys(left), keys(right)
+        lk, rk = keys(left, right)
         order = np.argsort(rk, kind="stable")
         rk = rk[order]
         at = np.searchsorted(rk, lk) if len(rk) else np.zeros(len(lk), dtype=np.int64)
@@ -133,7 +135,8 @@ def copy_differences(left: DataFrame, right: DataFrame, fields: Sequence[str]) -
     bucket = F.pmod(F.xxhash64("table_id", "pk"), F.lit(parts)).cast("int")
     lb = _one_row_per_key(left, fields).withColumn("_bucket", bucket)
     rb = _one_row_per_key(right, fields).withColumn("_bucket", bucket)
-    found = lb.groupBy("_bucket").cogroup(rb.groupBy("_bucket")).applyInArrow(_compare(fields), RESULT).persist()
+    found = lb.groupBy("_bucket").cogroup(rb.groupBy("_bucket")).applyInArrow(_compare(fields), RESULT)
+    found = written(found, "copy-differences")
     plain = found.where(F.col("kind") != "several")
     conflicts = found.where(F.col("kind") == "several").select("table_id", "pk")
     if conflicts.isEmpty():

@@ -9,10 +9,11 @@ before its publication has no effect, so nothing is skipped and nothing is done
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from thermocline.functions.positions import SIGN_BIT
 from thermocline.operators.support import small_side
@@ -104,31 +105,57 @@ class IncrementalTarget:
     def pending(self, source: DataFrame) -> DataFrame:
         return pending(source, TargetState(rows=self.rows()), self.key, self.version)
 
+    def adopt(self, done: DataFrame) -> int:
+        """Makes the first version of a target from what other records say was processed; returns its rows.
+
+        ``done`` has the key and version columns.  A target that has a version already is left as it is.
+        """
+        if self.current():
+            return 0
+        segment = f"{self.path}/segments/1-{uuid.uuid4().hex}"
+        seen = Observation()
+        done.select(*self.key, self.version).distinct().observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(segment)
+        self._publish(0, segment)
+        return seen.get["n"]
+
+    def added(self) -> DataFrame:
+        """Rows that the newest version added to the one before."""
+        return self.spark.read.parquet(self._segments(self.current())[-1])
+
     def run(self, source: DataFrame, process: Callable[[DataFrame], DataFrame] = lambda df: df) -> int:
         """Processes what is pending and publishes it; returns the number of rows published.
 
         ``process`` must keep the key and version columns.  Without pending rows no version is made.
         """
-        import uuid
-
         base = self.current()
         segment = f"{self.path}/segments/{base + 1}-{uuid.uuid4().hex}"
-        names = [*self.key, self.version]
-        process(self.pending(source.dropDuplicates(names))).write.parquet(segment)
-        done = self.spark.read.parquet(segment).count()
-        if done:
+        seen = Observation()
+        process(self._once(self.pending(source))).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(segment)
+        if seen.get["n"]:
             self._publish(base, segment)
-        return done
+        return seen.get["n"]
 
-    def _publish(self, base: int, segment: str) -> None:
-        import uuid
+    def _once(self, rows: DataFrame) -> DataFrame:
+        """One row per key and version: of several the one that sorts first, so that a repeated run takes the same."""
+        names = [*self.key, self.version]
+        rest = [c for c in rows.columns if c not in names]
+        if not rest:
+            return rows.distinct()
+        if any("map<" in t for c, t in rows.dtypes if c in rest):
+            return rows.dropDuplicates(names)
+        return rows.groupBy(*names).agg(F.min(F.struct(*rest)).alias(f"{_OWN}rest")).select(*[F.col(c) if c in names else F.col(f"{_OWN}rest.{c}").alias(c) for c in rows.columns])
 
+    def _publish(self, base: int, segment: str) -> None:
         text = json.dumps({"segments": [*self._segments(base), segment]})
         made = self._path(f"{self.path}/commits/_{uuid.uuid4().hex}")
         stream = self._fs.create(made, False)
         stream.write(bytearray(text.encode()))
         stream.close()
         final = self._path(f"{self.path}/commits/{base + 1}.json")
-        # a plain rename may overwrite on some file systems, hence the check for a rival first
-        if self._fs.exists(final) or not self._fs.rename(made, final):
-            raise RuntimeError(f"version {base + 1} was published by another run")
+        # this rename, unlike the plain one, is defined to fail where the target exists
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            files.rename(made, final, gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Exception as e:
+            raise RuntimeError(f"version {base + 1} was published by another run") from e

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from thermocline.operators.support import small_side
+from thermocline.operators.support import small_side, written
 
 #: Intervals per cell of one group: the unit of work of a task.
 CELL_INTERVALS = 100_000
@@ -116,14 +116,23 @@ def union_of(group: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndar
     return g, (s ^ TOP).view(np.int64), ((last + np.uint64(1)) ^ TOP).view(np.int64)
 
 
+_MERGED = "_gid string, lo long, hi long, next long, edge boolean"
+
+
 def _merge_cells(t: pa.Table) -> pa.Table:
+    """Periods of the cells in ``t``, each with where the next one of its cell begins; the first and last of a cell are its edge."""
     codes = t["_gid"].combine_chunks().dictionary_encode()
     if isinstance(codes, pa.ChunkedArray):
         codes = codes.combine_chunks()
     keys = np.stack([codes.indices.to_numpy().astype(np.int64), t["_cell"].to_numpy()], axis=1)
     uniq, idx = np.unique(keys, axis=0, return_inverse=True)
     g, lo, hi = union_of(idx.reshape(-1).astype(np.int64), t["lo"].to_numpy(), t["hi"].to_numpy())
-    return pa.table({"_gid": codes.dictionary.take(pa.array(uniq[g, 0])), "lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64())})
+    ends = np.ones(len(g), bool)
+    ends[:-1] = g[1:] != g[:-1]
+    begins = np.ones(len(g), bool)
+    begins[1:] = ends[:-1]
+    following = pa.array(np.append(lo[1:], 0), pa.int64(), mask=ends)
+    return pa.table({"_gid": codes.dictionary.take(pa.array(uniq[g, 0])), "lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64()), "next": following, "edge": pa.array(begins | ends)})
 
 
 def periods(intervals: DataFrame, group: Sequence[str], lo: str, hi: str, *, cell_intervals: int = CELL_INTERVALS) -> DataFrame:
@@ -135,22 +144,30 @@ def periods(intervals: DataFrame, group: Sequence[str], lo: str, hi: str, *, cel
 
     A group with more than ``cell_intervals`` intervals is cut at quantiles of ``lo`` into cells
     that are merged in parallel; what an interval covers beyond its first and last cell counts
-    as whole cells, so long intervals are not copied into every cell they cross.  Only the
-    periods of the cells, merged already, are stitched per group.
+    as whole cells, so long intervals are not copied into every cell they cross.  Only the first
+    and last period of each cell are stitched per group; no other can touch one of another cell.
     """
+    names, merged, cut = _merged(intervals, group, lo, hi, cell_intervals)
+    return _named(_stitch(merged).select("_gid", "lo", "hi") if cut else merged.select("_gid", "lo", "hi"), intervals, names)
+
+
+def _named(rows: DataFrame, intervals: DataFrame, names: list[str]) -> DataFrame:
+    schema = T.StructType([T.StructField(f"g{i}", intervals.schema[c].dataType) for i, c in enumerate(names)])
+    return rows.withColumn("_g", F.from_json("_gid", schema)).select(*[F.col(f"_g.g{i}").alias(c) for i, c in enumerate(names)], *[c for c in rows.columns if c != "_gid"])
+
+
+def _merged(intervals: DataFrame, group: Sequence[str], lo: str, hi: str, cell_intervals: int) -> tuple[list[str], DataFrame, bool]:
+    """Merged periods of all cells, and whether any group was cut into several."""
     names = list(group)
     ids = F.struct(*[F.col(c).alias(f"g{i}") for i, c in enumerate(names)])
-    schema = T.StructType([T.StructField(f"g{i}", intervals.schema[c].dataType) for i, c in enumerate(names)])
     rows = intervals.select(F.to_json(ids).alias("_gid"), F.col(lo).cast("long").alias("lo"), F.col(hi).cast("long").alias("hi")).where(F.col("lo") < F.col("hi"))
     large = rows.groupBy("_gid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_intervals)
     most = large.agg(F.max("n")).first()[0]
     pieces = rows.withColumn("_cell", F.lit(0).cast("long")) if most is None else _cells(rows, large, -(-most // cell_intervals), cell_intervals)
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bucket = F.pmod(F.xxhash64("_gid", "_cell"), F.lit(parts * 4)).cast("int")
-    merged = pieces.select("_gid", F.col("_cell").cast("long"), "lo", "hi", bucket.alias("_bucket")).groupBy("_bucket").applyInArrow(_merge_cells, "_gid string, lo long, hi long")
-    if most is not None:
-        merged = _stitch(merged)
-    return merged.withColumn("_g", F.from_json("_gid", schema)).select(*[F.col(f"_g.g{i}").alias(c) for i, c in enumerate(names)], "lo", "hi")
+    merged = pieces.select("_gid", F.col("_cell").cast("long"), "lo", "hi", bucket.alias("_bucket")).groupBy("_bucket").applyInArrow(_merge_cells, _MERGED)
+    return names, merged, most is not None
 
 
 def _cells(rows: DataFrame, large: DataFrame, cells: int, cell_intervals: int) -> DataFrame:
@@ -177,18 +194,31 @@ def _cells(rows: DataFrame, large: DataFrame, cells: int, cell_intervals: int) -
 
 
 def _stitch(merged: DataFrame) -> DataFrame:
-    """Joins what the cells of a group left apart."""
+    """``_gid, lo, hi``: periods with what the cells of a group left apart joined; all but the edges of the cells stay as they are."""
+    edges = merged.where("edge")
     before = Window.partitionBy("_gid").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1)
-    flagged = merged.withColumn("_reach", F.max("hi").over(before)).withColumn("_new", (F.col("_reach").isNull() | (F.col("lo") > F.col("_reach"))).cast("long"))
+    flagged = edges.withColumn("_reach", F.max("hi").over(before)).withColumn("_new", (F.col("_reach").isNull() | (F.col("lo") > F.col("_reach"))).cast("long"))
     run = Window.partitionBy("_gid").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)
-    return flagged.withColumn("_run", F.sum("_new").over(run)).groupBy("_gid", "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run")
+    joined = flagged.withColumn("_run", F.sum("_new").over(run)).groupBy("_gid", "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run")
+    return merged.where("NOT edge").select("_gid", "lo", "hi").unionByName(joined)
 
 
-def periods_and_gaps(intervals: DataFrame, group: Sequence[str], lo: str, hi: str, **options) -> DataFrame:
-    """``group columns, kind, lo, hi``: every period and the gap between two neighbouring ones."""
-    found = periods(intervals, group, lo, hi, **options)
-    names = list(group)
-    following = F.lead("lo").over(Window.partitionBy(*names).orderBy("lo"))
-    rows = found.select(*names, "lo", "hi", following.alias("next"))
-    entries = F.array(F.struct(F.lit("period").alias("kind"), F.col("lo").alias("lo"), F.col("hi").alias("hi")), F.struct(F.lit("gap").alias("kind"), F.col("hi").alias("lo"), F.col("next").alias("hi")))
-    return rows.select(*names, F.explode(entries).alias("e")).where(F.col("e.hi").isNotNull()).select(*names, "e.*")
+def periods_and_gaps(intervals: DataFrame, group: Sequence[str], lo: str, hi: str, *, cell_intervals: int = CELL_INTERVALS) -> DataFrame:
+    """``group columns, kind, lo, hi``: every period and the gap between two neighbouring ones.
+
+    Gaps within a cell are known where it was merged; those between cells come from the edges of
+    the cells alone, so no task holds the periods of a whole group.
+    """
+    names, merged, cut = _merged(intervals, group, lo, hi, cell_intervals)
+    if not cut:
+        entries = F.array(F.struct(F.lit("period").alias("kind"), F.col("lo"), F.col("hi")), F.struct(F.lit("gap").alias("kind"), F.col("hi").alias("lo"), F.col("next").alias("hi")))
+        rows = merged.select("_gid", F.explode(entries).alias("e")).where(F.col("e.hi").isNotNull()).select("_gid", "e.*")
+        return _named(rows, intervals, names).select(*names, "kind", "lo", "hi")
+    merged = written(merged, "interval-cells")
+    kind = lambda df, name: df.select("_gid", F.lit(name).alias("kind"), "lo", "hi")
+    inner = merged.where(F.col("next").isNotNull()).select("_gid", F.col("hi").alias("lo"), F.col("next").alias("hi"))
+    edges = merged.where("edge").withColumn("_following", F.lead("lo").over(Window.partitionBy("_gid").orderBy("lo")))
+    # within a cell the next edge may lie behind other periods; that gap is known already
+    outer = edges.where(F.col("next").isNull() & (F.col("_following") > F.col("hi"))).select("_gid", F.col("hi").alias("lo"), F.col("_following").alias("hi"))
+    rows = kind(_stitch(merged), "period").unionByName(kind(inner, "gap")).unionByName(kind(outer, "gap"))
+    return _named(rows, intervals, names).select(*names, "kind", "lo", "hi")

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from thermocline.functions.column_types import SPARK_TYPE, canonical_value, column_type
-from thermocline.operators.support import written
+from thermocline.operators.support import small_side, written
 
 RESCUE = "_rescued"
 
@@ -119,20 +119,25 @@ def rescue_ingest(row_batches: DataFrame, relation_columns: DataFrame) -> DataFr
     """
     key = ["table_id", "file_id", "row_no", "relation_lsn"]
     raw = row_batches.select(*key, "row_json").distinct()
+    names = latest_names(relation_columns).join(target_schemas(relation_columns).select("table_id", F.col("name").alias("target_name"), "column_type", "type_mod"), ["table_id", "target_name"])
+    # one map per schema, from the name written to the target: it grows with the schemas, not with the rows, and is broadcast when counted small
+    per = names.groupBy(F.col("table_id").alias("_t"), F.col("relation_lsn").alias("_l")).agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("target_name", "column_type", "type_mod")))).alias("_targets"))
+    rows = raw.join(small_side(per), (F.col("table_id") == F.col("_t")) & (F.col("relation_lsn") == F.col("_l")), "left")
     readable = F.json_object_keys("row_json").isNotNull()
-    parsed = raw.select("*", F.when(readable, F.from_json("row_json", "map<string,string>")).alias("m"), readable.alias("readable"))
-    names = latest_names(relation_columns).join(target_schemas(relation_columns).select("table_id", F.col("name").alias("target_name"), "column_type", "type_mod"), ["table_id", "target_name"], "left")
-    cell = parsed.select(*key, F.explode_outer("m").alias("name", "value"), "row_json", "readable")
-    cell = cell.join(names, ["table_id", "relation_lsn", "name"], "left")
-    read = canonical_value(F.col("value"), F.col("column_type"), F.col("type_mod"))
-    typed = F.col("target_name").isNotNull() & (F.col("value").isNull() | read.isNotNull())
-    cell = cell.select(*key, "name", "value", "target_name", read.alias("read"), typed.alias("typed"), "readable", "row_json")
-    good = F.collect_list(F.when(F.col("typed"), F.struct(F.col("target_name").alias("key"), F.col("read").alias("value"))))
-    bad = F.collect_list(F.when(~F.col("typed") & F.col("name").isNotNull(), F.struct(F.col("name").alias("key"), F.col("value").alias("value"))))
-    whole = F.max(F.when(~F.coalesce(F.col("readable"), F.lit(False)), F.col("row_json")))
-    rows = cell.groupBy(*key).agg(good.alias("good"), bad.alias("bad"), whole.alias("whole"))
-    rescued = F.when(F.col("whole").isNotNull(), F.to_json(F.create_map(F.lit("_row"), F.col("whole")))).when(F.size("bad") > 0, F.to_json(F.map_from_entries(F.array_sort("bad")), {"ignoreNullFields": "false"}))
-    return rows.select(*key, F.map_from_entries(F.array_sort("good")).alias("fields"), rescued.alias(RESCUE))
+    cells = F.map_entries(F.when(readable, F.from_json("row_json", "map<string,string>")))
+    none = F.lit(None).cast("struct<target_name:string,column_type:string,type_mod:int>")
+
+    def read(cell):
+        target = F.coalesce(F.try_element_at("_targets", cell["key"]), none)
+        value = canonical_value(cell["value"], target["column_type"], target["type_mod"])
+        typed = target["target_name"].isNotNull() & (cell["value"].isNull() | value.isNotNull())
+        return F.struct(cell["key"].alias("key"), cell["value"].alias("value"), target["target_name"].alias("target"), value.alias("read"), typed.alias("typed"))
+
+    rows = rows.select(*key, "row_json", readable.alias("_readable"), F.transform(F.coalesce(cells, F.array().cast("array<struct<key:string,value:string>>")), read).alias("_cells"))
+    good = F.transform(F.filter("_cells", lambda c: c["typed"]), lambda c: F.struct(c["target"].alias("key"), c["read"].alias("value")))
+    bad = F.transform(F.filter("_cells", lambda c: ~c["typed"]), lambda c: F.struct(c["key"].alias("key"), c["value"].alias("value")))
+    rescued = F.when(~F.col("_readable") & F.col("row_json").isNotNull(), F.to_json(F.create_map(F.lit("_row"), F.col("row_json")))).when(F.size(bad) > 0, F.to_json(F.map_from_entries(F.array_sort(bad)), {"ignoreNullFields": "false"}))
+    return rows.select(*key, F.map_from_entries(F.array_sort(good)).alias("fields"), rescued.alias(RESCUE))
 
 
 def promote(ingested: DataFrame, approved: DataFrame) -> DataFrame:

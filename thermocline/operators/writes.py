@@ -194,12 +194,12 @@ class Writes:
             return WriteResult(0, 0, t.spark.createDataFrame([], t.schema) if returning else None)
         both = halves[0] if len(halves) == 1 else halves[0].unionByName(halves[1])
         change = self._matched(t, both, new_image, cut.t)
-        if new_image is not None and change.rows or change.cold:
+        if change.rows and (new_image is not None or change.cold):
             change.check(t, cut.r)
         with self._publishing(t, cut) as p:
             if change.hot:
                 # rows that stay or arrive above the cut-line go into the files that lose their old images
-                p.rewrite_heap(change.old("_hot").select(*t.keys), change.new("_now_hot"), cut.t)
+                p.rewrite_heap(change.old("_hot").select(*t.keys), change.new("_now_hot") if new_image is not None else None, cut.t)
             elif change.to_hot:
                 p.rewrite_heap(None, change.new("_now_hot"), cut.t)
             if new_image is None:

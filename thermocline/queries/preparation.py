@@ -7,17 +7,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from thermocline.functions.keys import key_text_by_names, micros
 from thermocline.functions.positions import parse_position_rank, position_rank
 from thermocline.operators import change_replay, consolidate, copy_diff, incremental, intervals, schema_drift
-from thermocline.operators.support import small_side, table
+from thermocline.operators.support import scratch_path, small_side, table, written
 
 COPY_FIELDS = ("id", "tenant", "vin", "event_time", "last_seen", "ts", "val", "status", "active", "lat", "lon", "celsius", "psi")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live keys after every delivered change has been applied: the feed has ended, so its watermark is its end."""
-    feed = table(spark, sf_dir, "delta_feed", "arrival_seq", "table_id", "pk", "op", "tombstone", "version")
+    return _replayed(spark, sf_dir, True).select("table_id", "pk", "arrival_seq")
+
+
+def _replayed(spark: SparkSession, sf_dir: str, final: bool) -> DataFrame:
+    """Live rows of all tables, transactions being what a table's changes of one commit position are."""
+    feed = table(spark, sf_dir, "delta_feed", "arrival_seq", "table_id", "pk", "op", "tombstone", "version", "commit_lsn")
     deleted = F.coalesce(F.col("op") == 1, F.lit(False)) | F.coalesce(F.col("tombstone"), F.lit(False))
-    state = change_replay.replay(feed, ["table_id", "pk"], "version", "arrival_seq", deleted, sequence="arrival_seq", final=True)
-    return change_replay.live_rows(state).select("table_id", "pk", "arrival_seq")
+    state = change_replay.replay(feed, ["table_id", "pk"], "version", "arrival_seq", deleted, transaction=["table_id", "commit_lsn"], commit="commit_lsn", stream=["table_id"], sequence="arrival_seq", final=final)
+    return change_replay.live_rows(state)
 
 
 P1_FOUND = """
@@ -30,10 +35,20 @@ WHERE r = 1 AND NOT (coalesce(op = 1, false) OR coalesce(tombstone, false))
 
 def p1_watermark_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live keys of an open feed: only what lies below the first hole in the order of arrival."""
-    feed = table(spark, sf_dir, "delta_feed", "arrival_seq", "table_id", "pk", "op", "tombstone", "version")
-    deleted = F.coalesce(F.col("op") == 1, F.lit(False)) | F.coalesce(F.col("tombstone"), F.lit(False))
-    state = change_replay.replay(feed, ["table_id", "pk"], "version", "arrival_seq", deleted, sequence="arrival_seq", final=False)
-    return change_replay.live_rows(state).groupBy("table_id").agg(F.count(F.lit(1)).alias("live_keys"), F.max("version").alias("newest_version"))
+    return _replayed(spark, sf_dir, False).groupBy("table_id").agg(F.count(F.lit(1)).alias("live_keys"), F.max("version").alias("newest_version"))
+
+
+def p1_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transactions of the mirrored tables as they are assembled from deliveries."""
+    feed = table(spark, sf_dir, "delta_feed", "arrival_seq", "table_id", "pk", "version", "commit_lsn").where(F.col("pk").isNotNull() & F.col("version").isNotNull())
+    found = change_replay.assemble(feed, ["table_id", "commit_lsn"], "commit_lsn", ["table_id", "pk", "version"], arrival="arrival_seq")
+    return found.select("table_id", "commit_lsn", "changes", "first_arrival", "last_arrival")
+
+
+P1_TRANSACTIONS = """
+SELECT table_id, commit_lsn, count(*) AS changes, min(arrival_seq) AS first_arrival, max(arrival_seq) AS last_arrival FROM delta_feed
+WHERE pk IS NOT NULL AND version IS NOT NULL AND commit_lsn IS NOT NULL GROUP BY table_id, commit_lsn
+"""
 
 
 P1_WATERMARK_STATE = """
@@ -100,19 +115,38 @@ def mirror_frontiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes and heap rows that the next run of each mirrored table has to take."""
+    """Changes and heap rows that the next run of each mirrored table has to take.
+
+    The target keeps the key, position and version of every source row it was made from.  Its first
+    version is adopted from the records of the runs so far; the next run joins the source against
+    it, takes what it doesn't hold and publishes that as the second version.
+    """
+    source = written(_p3_source(spark, sf_dir), "incremental-source")
+    target = incremental.IncrementalTarget(spark, scratch_path(spark, "incremental-target"), ["table_id", "kind", "pk", "position"], "version")
+    target.adopt(source.where("done"))
+    if not target.run(source.drop("done")):
+        return source.limit(0).select("table_id", "kind", "pk", "version")
+    return target.added().select("table_id", "kind", "pk", "version").distinct()
+
+
+def _p3_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``table_id, kind, pk, position, version, done``: changes and heap rows of the mirrored tables and whether an earlier run took them."""
     registry = table(spark, sf_dir, "registered_tables", "table_id", "mode", "primary_key_cols").where(F.col("mode") == "mirrored")
-    mirrored = small_side(registry.select("table_id").distinct())
     feed = table(spark, sf_dir, "delta_feed", "table_id", "pk", "version", "commit_lsn").where(F.col("pk").isNotNull() & F.col("version").isNotNull())
-    state = incremental.TargetState(sealed=mirror_frontiers(spark, sf_dir))
-    fresh = incremental.pending(feed.join(mirrored, "table_id", "left_semi"), state, ["table_id", "pk"], "version", group="table_id", position=position_rank(F.col("commit_lsn")))
-    changes = fresh.select("table_id", F.lit("change").alias("kind"), "pk", "version").distinct()
+    upto = mirror_frontiers(spark, sf_dir).where(F.col("position").isNotNull()).select(F.col("table_id").alias("_of"), F.col("position").alias("_upto"))
+    rank = position_rank(F.col("commit_lsn"))
+    changes = feed.join(small_side(registry.select("table_id").distinct()), "table_id", "left_semi").join(small_side(upto), F.col("table_id") == F.col("_of"), "left")
+    # a change without position lies below every frontier
+    taken = F.col("_upto").isNotNull() & F.coalesce(rank <= F.col("_upto"), F.lit(True))
+    changes = changes.select("table_id", F.lit("change").alias("kind"), "pk", rank.alias("position"), "version", taken.alias("done"))
 
     progress = table(spark, sf_dir, "copy_progress", "table_id", "last_pk_text").join(registry.drop("mode"), "table_id")
     heap = table(spark, sf_dir, "heap_copy", "table_id", "id", "tenant", "vin").join(small_side(progress), "table_id")
     columns = {c: F.col(c) for c in ("id", "tenant", "vin")}
-    copies = heap.where(F.col("last_pk_text").isNull() | _after_last(columns)).select("table_id", F.lit("copy").alias("kind"), key_text_by_names(F.col("primary_key_cols"), columns).alias("pk"), F.lit(0).cast("long").alias("version"))
-    return changes.unionByName(copies.where(F.col("pk").isNotNull()).distinct())
+    copied = ~(F.col("last_pk_text").isNull() | F.coalesce(_after_last(columns), F.lit(False)))
+    pk = key_text_by_names(F.col("primary_key_cols"), columns)
+    copies = heap.select("table_id", F.lit("copy").alias("kind"), pk.alias("pk"), F.lit(None).cast("long").alias("position"), F.lit(0).cast("long").alias("version"), copied.alias("done"))
+    return changes.unionByName(copies.where(F.col("pk").isNotNull()))
 
 
 def _after_last(columns: dict):
@@ -214,6 +248,22 @@ GROUP BY ALL HAVING count(*) > 1
 """
 
 
+def p5_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All deliveries, lying in many small sorted files, after the k-way merge into few."""
+    feed = table(spark, sf_dir, "delta_feed", "arrival_seq", "table_id", "pk", "payload")
+    folder, made = scratch_path(spark, "small-files"), scratch_path(spark, "merged-files")
+    feed.repartition(96, "table_id", "pk").sortWithinPartitions("arrival_seq", "pk").write.parquet(folder)
+    listing = consolidate.list_sorted(spark, folder, "arrival_seq")
+    done = consolidate.SortedRunMerger(["arrival_seq", "pk"], made).run(consolidate.merge_orders(listing))
+    if done.isEmpty():
+        return feed
+    consolidate.check_merge(listing, done)
+    return spark.read.schema(feed.schema).parquet(made)
+
+
+P5_MERGED = "SELECT arrival_seq, table_id, pk, payload FROM delta_feed"
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Continuous periods of the partitions of each table and the gaps between them."""
     parts = table(spark, sf_dir, "table_partitions", "table_id", "tier_key_lo", "tier_key_hi", "state").where(~F.col("state").eqNullSafe("dropped"))
@@ -230,6 +280,6 @@ SELECT table_id, 'period' AS kind, lo AS tier_key_lo, hi AS tier_key_hi FROM p
 UNION ALL SELECT table_id, 'gap', hi, nxt FROM (SELECT *, lead(lo) OVER (PARTITION BY table_id ORDER BY lo) AS nxt FROM p) WHERE nxt IS NOT NULL
 """
 
-QUERIES = {"p1_found": p1_found, "p1_watermark_state": p1_watermark_state, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_rows": p4_rows, "p5_found": p5_found, "p5_plan": p5_plan, "p6_found": p6_found}
-SQL = {"p1_found": P1_FOUND, "p1_watermark_state": P1_WATERMARK_STATE, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_plan": P5_PLAN, "p6_found": P6_FOUND}
+QUERIES = {"p1_found": p1_found, "p1_watermark_state": p1_watermark_state, "p1_transactions": p1_transactions, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_rows": p4_rows, "p5_found": p5_found, "p5_plan": p5_plan, "p5_merged": p5_merged, "p6_found": p6_found}
+SQL = {"p1_found": P1_FOUND, "p1_watermark_state": P1_WATERMARK_STATE, "p1_transactions": P1_TRANSACTIONS, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_plan": P5_PLAN, "p5_merged": P5_MERGED, "p6_found": P6_FOUND}
 
