@@ -10,7 +10,7 @@ import json
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from thermocline.catalog import BaseMoved
 from thermocline.operators.incremental import after_key
@@ -20,6 +20,10 @@ from thermocline.sources.lake import Snapshot
 from thermocline.table import TieredTable
 
 
+#: Up to so many corrections a fold takes the oldest by a bounded top-k; beyond it takes whole versions.
+TOP_ROWS = 100_000
+
+
 class MovementError(RuntimeError):
     """A movement was refused before any side effect."""
 
@@ -223,7 +227,7 @@ class Movement:
         def make(base: Snapshot) -> Snapshot:
             segments = t.overlay_segments()
             rows = t.overlay(segments)
-            chosen = written(rows.orderBy("version", "pk").limit(batch), "fold")
+            chosen = written(_oldest(rows, batch, t.overlay_keys()), "fold")
             top = chosen.agg(F.max("version")).first()[0]
             left[:] = [segments, top, *self._without_folded(t, segments, chosen)]
             if top is None:
@@ -436,3 +440,16 @@ class Movement:
 
     def meanwhile(self, act: Callable[[], object], where: str = "made") -> None:
         self._at_pause[where] = act
+
+
+def _oldest(rows: DataFrame, batch: int, keys: int) -> DataFrame:
+    """The oldest ``batch`` corrections of at most ``keys``; a large batch ends with the version that reaches it, so that nothing is sorted."""
+    if batch >= keys:
+        return rows
+    if batch <= TOP_ROWS:
+        return rows.orderBy("version", "pk").limit(batch)
+    # one row per write, not per correction
+    per = rows.groupBy("version").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("version").rowsBetween(Window.unboundedPreceding, -1))
+    last = per.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < batch).agg(F.max("version").alias("_last"))
+    return rows.join(F.broadcast(last), F.col("version") <= F.col("_last"), "left_semi")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("seam", "preparation")
+MODULES = ("seam", "lifecycle", "preparation")
 
 
 def _modules():
