@@ -104,7 +104,7 @@ class Engine(Reads, Writes, Movement, Loads, Mirror, Maintenance):
     def run_cycle(self, name: str, *, lag: int | str = 0, fold_batch: int = 1000) -> dict:
         """One upkeep cycle of a table: tier, fold, adopt loads, expire, maintain if asked for."""
         t = self.table(name)
-        done: dict[str, object] = {}
+        done: dict[str, object] = {"pins_swept": self.catalog.sweep_pins()}
         if t.mode.base != "mirrored":
             done["tiered"] = self.tier(name, lag)
         if not t.mode.direct:

@@ -7,8 +7,9 @@ transaction; after a crash the next run finds the stamped snapshot and finishes
 from __future__ import annotations
 
 import json
+import re
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -90,6 +91,22 @@ class Movement:
         self.catalog.upsert_partition(t.id, partition_id, lo, hi)
         return partition_id
 
+    def sync_partitions(self, name: str, declared: Mapping[str, str]) -> list[str]:
+        """Registers as hot what the heap's owner declares and the catalog doesn't know; returns the new partitions.
+
+        ``declared`` maps partition names to texts such as ``FOR VALUES FROM ('2024-01-01') TO
+        ('2024-02-01')``.  Other forms (a default partition, an open end) have no range and are
+        passed over; known names stay as they are, whatever their bounds say.
+        """
+        t, made = self.table(name), []
+        known = {p["partition_id"] for p in self.catalog.partitions(t.id)}
+        for partition_id, text in declared.items():
+            ends = partition_bounds(text, t)
+            if partition_id not in known and ends is not None:
+                self.catalog.upsert_partition(t.id, partition_id, *ends)
+                made.append(partition_id)
+        return made
+
     def off_grid(self, name: str) -> DataFrame:
         """Heap rows at or above the cut-line that lie in no partition."""
         t = self.table(name)
@@ -256,7 +273,7 @@ class Movement:
         band = t.lake.layout.band(at, t.key, t.tier_dtype)
         keys = image.select(*t.keys, band.alias("_band"))
         rows = image.where("op = 0").select(*t.schema.names)
-        return t.lake.replace_keys(base, keys, rows if not rows.isEmpty() else None, stamps, merge_on_read=merge_on_read)
+        return t.lake.replace_keys(base, keys, rows, stamps, merge_on_read=merge_on_read)
 
     @staticmethod
     def _from_canonical(t: TieredTable, key):
@@ -442,6 +459,19 @@ class Movement:
         self._at_pause[where] = act
 
 
+def partition_bounds(text: str, t: TieredTable) -> tuple[int, int] | None:
+    """Canonical half-open range of a declared bound; None if it has none."""
+    found = re.fullmatch(r"\s*FOR\s+VALUES\s+FROM\s*\(\s*('(?:[^']|'')*'|[+-]?\d+)\s*\)\s*TO\s*\(\s*('(?:[^']|'')*'|[+-]?\d+)\s*\)\s*", text, re.I)
+    if not found:
+        return None
+    plain = [g[1:-1].replace("''", "'") if g.startswith("'") else g for g in found.groups()]
+    try:
+        lo, hi = (t.key.canonical(int(x) if t.key.name == "bigint" else x) for x in plain)
+    except (ValueError, TypeError):
+        return None
+    return (lo, hi) if lo < hi else None
+
+
 def _oldest(rows: DataFrame, batch: int, keys: int) -> DataFrame:
     """The oldest ``batch`` corrections of at most ``keys``; a large batch ends with the version that reaches it, so that nothing is sorted."""
     if batch >= keys:

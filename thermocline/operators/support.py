@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 #: A side is broadcast only when it is counted to have no more rows and bytes of text than this.
 BROADCAST_ROWS = 200_000
@@ -83,6 +83,12 @@ def written(df: DataFrame, label: str, *folders: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_seen(df: DataFrame, label: str, *metrics: Column) -> tuple[DataFrame, dict]:
+    """:func:`written`, with named aggregates over all rows that the same pass gives."""
+    seen = Observation()
+    return written(df.observe(seen, *metrics), label), seen.get
+
+
 def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
     """``df`` in at least ``per_core`` parts per core, for steps that work long on each row.
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from thermocline.operators.seam import cold_rows, hot_rows, scan
-from thermocline.operators.support import written
+from thermocline.operators.support import written_seen
 from thermocline.plans.modes import Side
 from thermocline.plans.predicate import Reach, classify, tier_predicate
 from thermocline.sources.lake import Snapshot
@@ -53,13 +53,12 @@ class Writes:
 
     def _put(self, t: TieredTable, rows: DataFrame, *, replace: bool, checks=None) -> WriteResult:
         cut = t.cut()
-        rows = written(t.typed(rows), "upsert")
-        self._check(t, rows)
+        rows, seen = self._taken(t, rows, cut, "upsert")
         self._unique(t, rows)
         if checks is not None:
             checks(t, cut.t, rows)
         hot, cold = rows.where(t.hot(cut.t)), rows.where(t.cold(cut.t))
-        n_hot, n_cold = rows.agg(F.count_if(t.hot(cut.t)), F.count_if(t.cold(cut.t))).first()
+        n_hot, n_cold = seen["hot"], seen["cold"]
         if t.mode.heap_complete and not t.mode.keep_heap:
             hot, cold, n_hot, n_cold = rows, rows.limit(0), n_hot + n_cold, 0
         heap_in = rows if t.mode.keep_heap else hot
@@ -97,16 +96,15 @@ class Writes:
         missing = {*t.keys, t.tier} - set(keys.columns)
         if missing:
             raise WriteRejected(f"a delete needs {sorted(missing)}")
-        keys = written(t.typed(keys.select(*dict.fromkeys([*t.keys, t.tier]))), "delete")
-        self._check(t, keys)
         at = t.cut()
         cut = at.t
+        keys, seen = self._taken(t, keys.select(*dict.fromkeys([*t.keys, t.tier])), at, "delete")
         hot, cold = keys.where(t.hot(cut)), keys.where(t.cold(cut))
-        n_hot, n_cold = 0, cold.count()
+        n_hot, n_cold = 0, seen["cold"]
         with self._publishing(t, at) as p:
             if t.mode.heap_complete:
                 n_hot = p.rewrite_heap(keys.select(*t.keys), None, None)
-            elif _any(hot):
+            elif seen["hot"]:
                 n_hot = p.rewrite_heap(hot.select(*t.keys), None, cut)
             if n_cold:
                 plan = t.mode.delete(Side.COLD)
@@ -119,18 +117,17 @@ class Writes:
             n_cold = 0
         return WriteResult(n_hot, n_cold)
 
-    def _check(self, t: TieredTable, rows: DataFrame) -> None:
-        """No null key or tier key and nothing below the retention line; refused before any write."""
+    def _taken(self, t: TieredTable, rows: DataFrame, cut: CutLine, label: str) -> tuple[DataFrame, dict]:
+        """The batch, written once, with its numbers of hot and cold rows.  A null key or tier key or a row below the retention line refuses it before any write."""
         bad = F.col(t.tier).isNull()
         for k in t.keys:
             bad = bad | F.col(k).isNull()
-        r = t.cut().r
-        checks = [F.max(F.when(bad, 1)), F.min(t.canonical())]
-        null, low = rows.agg(*checks).first()
-        if null:
+        rows, seen = written_seen(t.typed(rows), label, F.max(F.when(bad, 1)).alias("null"), F.min(t.canonical()).alias("low"), F.count_if(t.hot(cut.t)).alias("hot"), F.count_if(t.cold(cut.t)).alias("cold"))
+        if seen["null"]:
             raise WriteRejected("a row has no primary key or tier key")
-        if r is not None and low is not None and low < r and t.mode.insert(Side.COLD).check_retention:
-            raise WriteRejected(f"tier key {low} is below the retention line {r}")
+        if cut.r is not None and seen["low"] is not None and seen["low"] < cut.r and t.mode.insert(Side.COLD).check_retention:
+            raise WriteRejected(f"tier key {seen['low']} is below the retention line {cut.r}")
+        return rows, seen
 
     # statements -----------------------------------------------------------
 
@@ -227,11 +224,10 @@ class Writes:
         else:
             image = new_image(rows.withColumn("_o", old), "_hot", "_o")
             pairs = image.select("_hot", F.col("_o").alias("o"), F.struct(*[F.col(c) for c in t.schema.names]).alias("n"), "_at", F.coalesce(t.hot(cut), F.lit(False)).alias("_now_hot"))
-        seen = Observation()
         key = t.key.encode(F.col(f"n.{t.tier}"), t.tier_dtype)
         counts = [F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_hot")).alias("hot"), F.count_if(F.col("_hot") & ~F.col("_now_hot")).alias("to_cold"), F.count_if(~F.col("_hot") & F.col("_now_hot")).alias("to_hot"), F.count_if(key.isNull()).alias("nulls"), F.min(key).alias("low")]
-        done = written(pairs.observe(seen, *counts), "matched")
-        return Matched(done, **seen.get)
+        done, seen = written_seen(pairs, "matched", *counts)
+        return Matched(done, **seen)
 
     def _change_complete(self, t: TieredTable, condition: str, new_image, cut, returning: bool) -> WriteResult:
         """A heap that holds all rows is changed in place; with keep_heap the change of cold rows also goes to overlay or lake."""

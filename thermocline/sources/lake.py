@@ -13,6 +13,7 @@ import time
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -20,6 +21,8 @@ from thermocline.functions.keys import TierKeyType, band_floor
 from thermocline.sources.store import Store
 
 NO_BAND = "all"
+#: Up to so many new files the driver reads their footers itself; more are described by a distributed scan.
+FOOTERS = 64
 
 
 @dataclass(frozen=True)
@@ -189,56 +192,63 @@ class Lake:
         return self.describe(path)
 
     def describe(self, path: str) -> list[DataFile]:
-        """Files below ``path`` with band, range, records and size: a scan of the tier key alone."""
+        """Files below ``path`` with band, range, records and size, from their footers; where these don't tell, or files are many, by a scan of the tier key alone."""
         sizes = {p: b for p, b, _ in self.store.files(path) if p.endswith(".parquet")}
         if not sizes:
             return []
-        rows = self.spark.read.schema(self.schema).parquet(*sizes)
-        key = self.key.encode(F.col(self.tier_column), self._dtype())
-        per = rows.groupBy(F.col("_metadata.file_path").alias("p")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).collect()
-        from urllib.parse import unquote
-
+        found = {p: self.store.footer(p, self.tier_column) for p in sizes} if len(sizes) <= FOOTERS else {}
+        if not found or None in found.values():
+            rows = self.spark.read.schema(self.schema).parquet(*sizes)
+            key = self.key.encode(F.col(self.tier_column), self._dtype())
+            per = rows.groupBy(F.col("_metadata.file_path").alias("p")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).collect()
+            plain = {Store.plain(r["p"]): r for r in per}
+            found = {p: tuple(r)[1:] for p in sizes if (r := plain.get(p) or next((x for q, x in plain.items() if unquote(q) == p), None)) is not None}
         out = []
-        for r in per:
-            p = Store.plain(unquote(r["p"])) if Store.plain(unquote(r["p"])) in sizes else Store.plain(r["p"])
-            band = p.split("/_band=")[1].split("/")[0] if "/_band=" in p else NO_BAND
-            out.append(DataFile(p, unquote(band), r["lo"], r["hi"], r["n"], sizes.get(p, 0), 0))
+        for p, (low, high, n) in found.items():
+            if n:
+                band = p.split("/_band=")[1].split("/")[0] if "/_band=" in p else NO_BAND
+                out.append(DataFile(p, unquote(band), low, high, n, sizes[p], 0))
         return out
 
     def write_deletes(self, keys: DataFrame) -> list[DeleteFile]:
         """Delete files for ``keys`` (key columns and ``_band``)."""
         path = f"{self.root}/deletes/{uuid.uuid4().hex}"
         keys.select(*self.key_columns, "_band").distinct().hint("rebalance", "_band").write.partitionBy("_band").parquet(path)
-        out = []
-        for p, _, _ in self.store.files(path):
-            if p.endswith(".parquet"):
-                n = self.spark.read.parquet(p).count()
-                out.append(DeleteFile(p, p.split("/_band=")[1].split("/")[0], n, 0))
-        return out
+        found = [p for p, _, _ in self.store.files(path) if p.endswith(".parquet")]
+        if not found:
+            return []
+        per = self.spark.read.parquet(*found).groupBy(F.col("_metadata.file_path").alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+        counts = {Store.plain(r["p"]): r["n"] for r in per} | {Store.plain(unquote(r["p"])): r["n"] for r in per}
+        return [DeleteFile(p, unquote(p.split("/_band=")[1].split("/")[0]), counts.get(p, 0), 0) for p in found]
 
     def replace_keys(self, base: Snapshot, keys: DataFrame, rows: DataFrame | None, stamps: dict[str, str], *, merge_on_read: bool = False) -> Snapshot:
-        """Removes ``keys`` (key columns and ``_band``, the band the old image lies in) and adds ``rows``.
+        """Removes ``keys`` and adds ``rows``; ``keys`` has the key columns and ``_band``, the band the old image lies in, or the key columns alone if that isn't known.
 
-        Copy on write by default: only files of touched bands that hold a key are rewritten.  With
-        ``merge_on_read`` the keys become delete files.
+        Copy on write by default: only files that hold a key are rewritten, and what stays of them
+        goes into the same write as the new rows.  With ``merge_on_read`` the keys become delete files.
         """
-        add = self.write(rows) if rows is not None else []
         if merge_on_read:
+            add = self.write(rows) if rows is not None else []
             deletes = self.write_deletes(keys) if base.files else []
             return self.commit(base, add=add, add_deletes=deletes, stamps=stamps)
-        touched = {r["_band"] for r in keys.select("_band").distinct().collect()}
-        files = [f for f in base.files if f.band in touched]
+        on = [*self.key_columns, "_band"] if "_band" in keys.columns else list(self.key_columns)
+        files, touched = base.files, {f.band for f in base.files}
+        if files and "_band" in on:
+            touched = {r["_band"] for r in keys.select("_band").distinct().collect()}
+            files = [f for f in files if f.band in touched]
+        parts = [rows.select(*self.schema.names)] if rows is not None else []
         if files:
-            old = self.scan(Snapshot(base.number, files, base.deletes))
             hit = self.spark.read.schema(self.schema).parquet(*[f.path for f in files]).select(*self.key_columns, F.col("_metadata.file_path").alias("_p"))
-            from urllib.parse import unquote
-
-            hits = {Store.plain(unquote(r["_p"])) for r in hit.join(keys.select(*self.key_columns), self.key_columns, "left_semi").select("_p").distinct().collect()}
-            files = [f for f in files if f.path in hits or any(d.band == f.band for d in base.deletes)]
-            old = self.scan(Snapshot(base.number, files, base.deletes)) if files else None
-            if old is not None:
-                kept = self.with_band(old).join(keys.select(*self.key_columns, "_band"), [*self.key_columns, "_band"], "left_anti").drop("_band")
-                add = [*add, *self.write(kept)]
+            hits = {p for r in hit.join(keys.select(*self.key_columns), self.key_columns, "left_semi").select("_p").distinct().collect() for p in (Store.plain(r["_p"]), Store.plain(unquote(r["_p"])))}
+            indebted = {d.band for d in base.deletes}
+            files = [f for f in files if f.path in hits or "_band" in on and f.band in indebted]
+            if files:
+                old = self.scan(Snapshot(base.number, files, base.deletes))
+                parts.append(self.with_band(old).join(keys.select(*on), on, "left_anti").select(*self.schema.names))
+        kept = None
+        for part in parts:
+            kept = part if kept is None else kept.unionByName(part)
+        add = self.write(kept) if kept is not None else []
         gone = {f.path for f in files}
         bands_left = {f.band for f in base.files if f.path not in gone}
         return self.commit(base, add=add, drop=gone, drop_deletes=[d.path for d in base.deletes if d.band in touched and d.band not in bands_left], stamps=stamps)

@@ -46,6 +46,32 @@ class Store:
         finally:
             stream.close()
 
+    def footer(self, path: str, column: str) -> tuple[int | None, int | None, int] | None:
+        """Lowest and highest value of a column and the number of rows of a Parquet file, by its footer alone; None where that doesn't tell the range."""
+        parquet = self.spark._jvm.org.apache.parquet.hadoop
+        reader = parquet.ParquetFileReader.open(parquet.util.HadoopInputFile.fromPath(self._path(path), self._conf))
+        try:
+            low = high = None
+            rows, blocks = 0, reader.getFooter().getBlocks()
+            for i in range(blocks.size()):
+                block = blocks.get(i)
+                rows += block.getRowCount()
+                columns = block.getColumns()
+                stats = next((c.getStatistics() for c in (columns.get(j) for j in range(columns.size())) if c.getPath().toDotString() == column), None)
+                if stats is None or stats.isEmpty():
+                    return None
+                if not stats.hasNonNullValue():
+                    if stats.getNumNulls() != block.getRowCount():
+                        return None
+                    continue
+                least, most = stats.genericGetMin(), stats.genericGetMax()
+                if not isinstance(least, int):
+                    return None
+                low, high = least if low is None else min(low, least), most if high is None else max(high, most)
+            return low, high, rows
+        finally:
+            reader.close()
+
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from thermocline.operators.support import written
 from thermocline.operators.writes import WriteRejected
 from thermocline.plans.modes import Side
 from thermocline.sources.lake import DataFile, Snapshot
@@ -44,15 +43,14 @@ class Loads:
         if known:
             r = json.loads(known["result"] or "{}")
             return LoadResult(label, r.get("hot_rows", 0), r.get("delta_rows", 0), r.get("staged_rows", 0), True)
-        rows = written(t.typed(rows), "load")
-        self._check(t, rows)
-        self._unique(t, rows)
         at = t.cut()
         cut = at.t
+        rows, seen = self._taken(t, rows, at, "load")
+        self._unique(t, rows)
         complete = t.mode.heap_complete and not t.mode.keep_heap
         hot = rows if complete else rows.where(t.hot(cut))
         cold = rows.limit(0) if complete else rows.where(t.cold(cut))
-        n_hot, n_cold = (rows.count(), 0) if complete else rows.agg(F.count_if(t.hot(cut)), F.count_if(t.cold(cut))).first()
+        n_hot, n_cold = (seen["hot"] + seen["cold"], 0) if complete else (seen["hot"], seen["cold"])
         plan = t.mode.insert(Side.COLD)
         if n_cold and plan.lake:
             raise WriteRejected("a direct table takes no cold rows from a load")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from thermocline.functions.keys import key_text
 from thermocline.functions.positions import position_rank
-from thermocline.operators.support import written
+from thermocline.operators.support import written_seen
 from thermocline.sources.lake import Snapshot
 from thermocline.table import TieredTable
 
@@ -104,25 +104,27 @@ class Mirror:
         if frontier is not None:
             at = F.lit(_rank(frontier))
             changes = changes.where((rank > at) | (rank == at) & (F.col("seq") > F.lit(props.get("mirror-seq", _LAST))))
-        fresh = written(changes, "changes")
         commits = F.col("kind") == "commit"
-        highest, committed = fresh.agg(F.max(rank), F.max(F.when(commits, rank))).first()
+        marked = F.coalesce("unchanged", F.array().cast("array<string>"))
+        lost = (F.size(marked) > 0) & F.col("old").isNull()
+        facts = [F.count_if(~commits).alias("changed"), F.max(F.when(F.col("kind") == "truncate", 1)).alias("truncated"), F.max(F.when(lost, 1)).alias("unfilled"), F.max(F.struct(rank.alias("rank"), "seq")).alias("top")]
+        fresh, seen = written_seen(changes, "changes", F.max(F.when(commits, rank)).alias("committed"), *facts)
+        highest, committed = seen["top"] and seen["top"]["rank"], seen["committed"]
         whole = committed is not None or bool(tail)
         limit = max((x for x in (committed if whole else highest, None if up_to is None else _rank(up_to)) if x is not None), default=None)
         taken = fresh.where(rank <= F.lit(limit)) if limit is not None else fresh.limit(0)
-        marked = F.coalesce("unchanged", F.array().cast("array<string>"))
-        lost = (F.size(marked) > 0) & F.col("old").isNull()
-        changed, truncated, unfilled, top = taken.agg(F.count_if(~commits), F.max(F.when(F.col("kind") == "truncate", 1)), F.max(F.when(lost, 1)), F.max(F.struct(rank.alias("rank"), "seq"))).first()
+        held = highest is not None and (limit is None or highest > limit)
+        if held:
+            seen = taken.agg(*facts).first()
+        changed, truncated, unfilled, top = (seen[k] for k in ("changed", "truncated", "unfilled", "top"))
         if truncated:
             raise StreamError(f"{name} was truncated")
         if unfilled:
             raise StreamError("an unchanged value has no old image")
         found = {"mirror-seq": None if top is None else top["seq"], "mirror-tail": None}
-        if limit is None or highest is not None and highest > limit:
+        if held:
             found["mirror-tail"] = f"{t.root}/mirror-tail/{uuid.uuid4().hex}"
             (fresh if limit is None else fresh.where(rank > F.lit(limit))).write.parquet(found["mirror-tail"])
-            if highest is None:
-                found["mirror-tail"] = None
         position = frontier if limit is None else max(_position(limit), frontier or 0)
         if top is not None and _position(top["rank"]) != position or top is None:
             # nothing of the frontier's own position was applied now: what comes of it later was there before or is new as a whole
@@ -133,11 +135,10 @@ class Mirror:
                     self.catalog.advance_frontier(t.id, position)
                 self.catalog.set_props(t.id, found)
             return position
-        newest = written(collapse(taken.where(~commits), t.keys, t.schema.names), "newest")
-        no_key, no_tier = newest.agg(F.count_if(F.col("pk").isNull()), F.count_if((F.col("op") == 0) & F.col(f"row.{t.tier}").isNull())).first()
-        if no_key:
+        newest, seen = written_seen(collapse(taken.where(~commits), t.keys, t.schema.names), "newest", F.count_if(F.col("pk").isNull()).alias("no_key"), F.count_if((F.col("op") == 0) & F.col(f"row.{t.tier}").isNull()).alias("no_tier"))
+        if seen["no_key"]:
             raise StreamError("a change has no primary key")
-        if no_tier:
+        if seen["no_tier"]:
             raise StreamError("a row has no tier key")
 
         def publish(made: Snapshot) -> None:
@@ -150,12 +151,8 @@ class Mirror:
 
     def _merge_into_lake(self, t: TieredTable, base: Snapshot, newest: DataFrame, top: int, found: dict) -> Snapshot:
         keys = newest.select("row.*").select(*t.keys)
-        held = t.lake.with_band(t.lake.scan(base).join(keys, t.keys, "left_semi")).select(*t.keys, "_band") if base.files else None
         rows = newest.where("op = 0").select("row.*").select(*t.schema.names)
-        stamps = {"op-kind": "mirror", "commit-lsn": str(top), "mirror": json.dumps(found)}
-        if held is None:
-            return t.lake.commit(base, add=t.lake.write(rows), stamps=stamps)
-        return t.lake.replace_keys(base, held, rows, stamps)
+        return t.lake.replace_keys(base, keys, rows, {"op-kind": "mirror", "commit-lsn": str(top), "mirror": json.dumps(found)})
 
     def _recover_frontier(self, t: TieredTable) -> None:
         """After a crash between commit and publication: the mirror snapshot on top of the published one tells how far the stream got."""

@@ -108,7 +108,7 @@ class TieredTable:
         return T.StructType([T.StructField("pk", T.StringType()), T.StructField("op", T.ShortType()), T.StructField("tier_key", T.LongType()), T.StructField("old_tier_key", T.LongType()), T.StructField("version", T.LongType()), T.StructField("image", image)])
 
     def overlay_segments(self) -> list[str]:
-        return json.loads(self.catalog.overlay(self.id)["segments"])
+        return self.catalog.segments(self.id)
 
     def overlay(self, segments: list[str] | None = None) -> DataFrame:
         """One row per key: the newest change and the tier key under which the lake still holds the row."""
