@@ -4,6 +4,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from thermocline.operators import consolidate
 from thermocline.operators.consolidate import SortedRunMerger, assign_outputs, consolidation_plan, merge_candidates, merge_orders
 
 FILES = "file_id long, table_id long, partition_id string, file_path string, file_size_bytes long, record_count long, delete_count long, lake_snapshot_id long, created_at string, path string"
@@ -107,3 +108,15 @@ def test_nulls_of_files_with_a_known_range_are_kept(spark, tmp_path, counted):
     assert back == sorted(everything, key=lambda k: (k is not None, k or 0))
     at_open = orders.where("low is null").first()["paths"]
     assert counted == (str(tmp_path / "9.parquet") not in at_open)
+
+
+def test_lists_merges_and_checks_by_uri(spark, tmp_path):
+    folder, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    spark.range(1000).selectExpr("id % 90 AS k", "cast(id AS string) AS v").union(spark.sql("SELECT CAST(NULL AS BIGINT), 'n'")).repartition(7).sortWithinPartitions("k").write.parquet(folder)
+    listing = consolidate.list_sorted(spark, folder, "k")
+    assert listing.agg({"nulls": "sum"}).first()[0] == 1 and listing.count() == 7
+    made = SortedRunMerger(["k"], out, fan_in=3, batch_rows=64).run(merge_orders(listing, bytes_per_order=2000))
+    consolidate.check_merge(listing, made)
+    assert sorted(map(tuple, spark.read.parquet(out).collect()), key=str) == sorted(map(tuple, spark.read.parquet(folder).collect()), key=str)
+    with pytest.raises(RuntimeError):
+        consolidate.check_merge(listing, made.limit(1))

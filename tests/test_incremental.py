@@ -70,3 +70,23 @@ def test_after_key(spark):
     df = spark.createDataFrame([(1, "b"), (1, "c"), (2, "a"), (0, "z"), (1, "B"), (None, "a")], "t long, v string")
     got = df.where(after_key([F.col("t"), F.col("v")], [F.lit(1), F.lit("b")])).collect()
     assert sorted(map(tuple, got)) == [(1, "c"), (2, "a")]
+
+
+def test_a_target_adopts_what_earlier_runs_did(spark, tmp_path):
+    schema = "g long, k string, position long, version long"
+    target = IncrementalTarget(spark, f"file://{tmp_path}/target", ["g", "k", "position"], "version")
+    source = spark.createDataFrame([(1, "a", 10, 1), (1, "a", 20, 1), (1, "b", None, 1), (2, "a", 10, 1), (2, "a", 10, 1)], schema)
+    assert target.adopt(source.where("g = 1 AND coalesce(position, 0) <= 10")) == 2 and target.current() == 1
+    assert target.adopt(source) == 0
+    assert target.run(source) == 2 and target.current() == 2
+    assert sorted(map(tuple, target.added().collect())) == [(1, "a", 20, 1), (2, "a", 10, 1)]
+    assert target.run(source) == 0 and target.current() == 2
+
+
+def test_of_repeats_the_same_row_is_kept(spark, tmp_path):
+    schema = "k string, version long, v string, m int"
+    rows_ = [("a", 1, "y", 1), ("a", 1, "x", 2), ("a", 1, None, 3), ("b", None, "z", 1)]
+    for i, order in enumerate((rows_, rows_[::-1])):
+        target = IncrementalTarget(spark, f"file://{tmp_path}/t{i}", ["k"], "version")
+        target.run(spark.createDataFrame(order, schema))
+        assert sorted(map(tuple, target.rows().collect())) == [("a", 1, None, 3), ("b", None, "z", 1)]

@@ -11,8 +11,9 @@ REPO = Path(__file__).resolve().parent.parent
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.exists(SF), reason="needs the test tables")
 CHECKED = [
-    "p1_found", "p1_watermark_state", "p2_found", "p3_found", "p4_found", "p5_found", "p5_plan", "p6_found", "seam_scan", "seam_agg", "cross_table_join", "seam_exists", "seam_window", "classify_cold",
+    "p1_found", "p1_watermark_state", "p1_transactions", "p2_found", "p3_found", "p4_found", "p5_found", "p5_plan", "p5_merged", "p6_found", "seam_scan", "seam_agg", "cross_table_join", "seam_exists", "seam_window", "classify_cold",
     "update_mixed", "tier_move_within_cold", "tier_move_to_hot", "tier_move_to_cold", "keep_heap_mirror", "direct_writes", "fold_merge_on_read", "staged_load_adopted", "retention_expire", "mirror_collapse",
+    "fold_in_batches", "update_cast", "upsert_hot_twice", "ingest_during_fold", "fold_during_ingest", "adopt_two_loads", "read_under_pin", "tier_crash_resume", "small_files_rewritten", "snapshots_expired", "mirror_split_transaction", "mirror_widens", "status_snapshot", "explain_routes",
 ]
 
 
@@ -27,6 +28,12 @@ def test_the_rest_works_without_the_subpackage_for_text():
     subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True)
 
 
+def test_a_broken_subpackage_is_not_passed_over():
+    code = "import sys; sys.modules['tiktoken'] = None; sys.modules['xxhash'] = None\ntry:\n    import __spark_entry__\nexcept ModuleNotFoundError as e:\n    sys.exit(0 if e.name != 'thermocline.llm' else 1)\nsys.exit(1)"
+    if (REPO / "thermocline" / "llm").exists():
+        subprocess.run([sys.executable, "-c", code], cwd=REPO, check=True)
+
+
 def test_nothing_imports_the_subpackage_for_text():
     for p in (REPO / "thermocline").rglob("*.py"):
         if "llm" not in p.parts:
