@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from thermocline.llm import mixing
 from thermocline.llm.mixing import budgets, mix_plan, mix_shares, mixture, token_counts
 
 DOCS, TARGETS = "doc_id long, source string, tokens long, weight double", "source string, target_share double, max_repeats int"
@@ -53,6 +54,29 @@ def test_deterministic_and_by_weight(spark):
     assert first != {r["doc_id"] for r in mix_plan(df, both, total_tokens=8000, seed=1).collect()}
 
 
+@pytest.mark.parametrize(("edge", "blocks"), [(10_000, 1000), (5, 3), (0, 2)])
+def test_against_brute_force(spark, monkeypatch, edge, blocks):
+    """However the end of a budget is searched for, the documents are those of a full sort."""
+    monkeypatch.setattr(mixing, "EDGE_ROWS", edge)
+    monkeypatch.setattr(mixing, "BLOCKS", blocks)
+    rows = corpus(1500)
+    df = spark.createDataFrame(rows, DOCS)
+    targets = [("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.2, 4)]
+    got = {(r["source"], r["doc_id"]): r["copies"] for r in mix_plan(df, spark.createDataFrame(targets, TARGETS)).collect()}
+    uniform = (F.pmod(F.xxhash64("doc_id", F.lit(mixing.SEED)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+    keys = {r["doc_id"]: r["k"] for r in df.select("doc_id", (-F.log(uniform) / F.when(F.col("weight") > 0, F.col("weight")).otherwise(0.01)).alias("k")).collect()}
+    totals = {s: sum(t for _, x, t, _ in rows if x == s) for s, _, _ in targets}
+    want = {}
+    for s, quota in budgets(totals, targets).items():
+        before, (epochs, rest) = 0, divmod(quota, totals[s])
+        for d, t in sorted(((d, t) for d, x, t, _ in rows if x == s), key=lambda r: (keys[r[0]], r[0])):
+            extra = int(rest > 0 and t > 0 and before + t / 2 <= rest)
+            before += t
+            if epochs + extra:
+                want[s, d] = epochs + extra
+    assert got == want
+
+
 def test_empty(spark):
     docs, targets = spark.createDataFrame([], DOCS), spark.createDataFrame([("s", 1.0, 1)], TARGETS)
     assert mix_plan(docs, targets).count() == 0

@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
@@ -19,8 +20,10 @@ from thermocline.operators.support import small_side, spread, written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SEED = 20_250_301
-#: Key quantiles per source; only the block in which a budget ends is sorted.
+#: Ranges of keys per source in which the end of a budget is looked for at a time.
 BLOCKS = 1000
+#: A range of at most so many documents is sorted to find the last document of a budget.
+EDGE_ROWS = 10_000
 
 
 @lru_cache(maxsize=2)
@@ -90,35 +93,70 @@ def mix_plan(documents: DataFrame, targets: DataFrame, *, total_tokens: int | No
     document id and ``seed`` only; ties go by id.  Documents without tokens never change a
     share and are taken in complete epochs only.  Null or non-positive weights count as 0.01.
 
-    Only one sum per source reaches the driver.  The end of each budget is found from sums of
-    ``BLOCKS`` key quantiles, and only the block in which it falls is sorted.
+    Only sums per source and key range reach the driver.  The end of each budget is searched for
+    in ever narrower ranges of keys, ``BLOCKS`` at a time, until a range of at most ``EDGE_ROWS``
+    documents is left to be sorted; no source is sorted, and no document is shuffled.
     """
     rules = {r["source"]: (r["source"], r["target_share"], r["max_repeats"]) for r in targets.where(F.col("source").isNotNull()).orderBy("target_share").collect()}
     spark = documents.sparkSession
     known = spark.createDataFrame([(s,) for s in rules], "source string")
-    # written once: the counting of tokens isn't done again for each of the sums below
-    docs = written(documents.join(small_side(known), "source", "left_semi").select("doc_id", "source", "tokens", "weight"), "token-counts")
-    totals = {r["source"]: int(r["t"] or 0) for r in docs.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
-    quota = budgets(totals, list(rules.values()), total_tokens)
-    plan = [(s, q // totals[s] if totals.get(s) else 0, q % totals[s] if totals.get(s) else 0) for s, q in quota.items()]
-    plan_df = small_side(spark.createDataFrame(plan, "source string, epochs long, rest long"))
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
     weight = F.when(F.col("weight") > 0, F.col("weight")).otherwise(F.lit(0.01))
-    keyed = docs.join(plan_df, "source").withColumn("_key", -F.log(uniform) / weight)
-    picking = keyed.where((F.col("rest") > 0) & (F.col("tokens") > 0))
-    grid = picking.groupBy("source").agg(F.percentile_approx("_key", [i / BLOCKS for i in range(1, BLOCKS)], 10 * BLOCKS).alias("_grid"))
-    block = F.size(F.filter("_grid", lambda q: q < F.col("_key")))
-    blocked = picking.join(small_side(grid), "source").withColumn("_block", block).drop("_grid")
-    before = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = blocked.groupBy("source", "_block").agg(F.sum("tokens").alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-    placed = blocked.join(small_side(sums), ["source", "_block"])
-    inside = placed.where(F.col("_base") + F.col("_sum") <= F.col("rest")).select("source", "doc_id")
-    edge = placed.where((F.col("_base") < F.col("rest")) & (F.col("_base") + F.col("_sum") > F.col("rest")))
+    # written once: the counting of tokens isn't done again for each of the sums below
+    docs = written(documents.join(small_side(known), "source", "left_semi").select("doc_id", "source", "tokens", "weight", (-F.log(uniform) / weight).alias("_key")), "token-counts")
+    counted = F.col("tokens") > 0
+    per = docs.groupBy("source").agg(F.sum("tokens").alias("t"), F.count_if(counted).alias("n"), F.min(F.when(counted, F.col("_key"))).alias("lo"), F.max(F.when(counted, F.col("_key"))).alias("hi")).collect()
+    totals = {r["source"]: int(r["t"] or 0) for r in per}
+    quota = budgets(totals, list(rules.values()), total_tokens)
+    epochs = {s: q // totals[s] if totals.get(s) else 0 for s, q in quota.items()}
+    ends = {r["source"]: _End(r["lo"], r["hi"], 0, r["n"], quota[r["source"]] % totals[r["source"]]) for r in per if totals[r["source"]] and quota.get(r["source"], 0) % totals[r["source"]]}
+    _narrow(docs.where(counted), ends)
+    plan = [(s, e, ends[s].low if s in ends else None, ends[s].high if s in ends else None, ends[s].base if s in ends else None, ends[s].rest if s in ends else 0) for s, e in epochs.items()]
+    planned = docs.join(F.broadcast(spark.createDataFrame(plan, "source string, epochs long, _low double, _high double, _base long, _rest long")), "source")
     running = F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = edge.withColumn("_before", F.col("_base") + running).where(F.col("_before") + F.col("tokens") / 2 <= F.col("rest")).select("source", "doc_id")
-    extra = inside.unionByName(edge).withColumn("_extra", F.lit(1)).distinct()
-    every = keyed.join(extra, ["source", "doc_id"], "left").withColumn("copies", F.col("epochs") + F.coalesce("_extra", F.lit(0)))
-    return every.where(F.col("copies") > 0).select("doc_id", "source", "tokens", "weight", "copies")
+    edge = planned.where(counted & F.col("_key").between(F.col("_low"), F.col("_high"))).withColumn("_before", F.col("_base") + running)
+    edge = edge.where(F.col("_before") + F.col("tokens") / 2 <= F.col("_rest")).select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.lit(1).alias("_last")).distinct()
+    if sum(e.rows for e in ends.values()) <= EDGE_ROWS * max(1, len(ends)):
+        edge = F.broadcast(edge)
+    every = planned.join(edge, (F.col("source") == F.col("_s")) & (F.col("doc_id") == F.col("_d")) & counted & (F.col("_key") >= F.col("_low")), "left")
+    extra = F.when(counted & (F.col("_key") < F.col("_low")), 1).otherwise(F.coalesce("_last", F.lit(0)))
+    return every.withColumn("copies", F.col("epochs") + extra).where(F.col("copies") > 0).select("doc_id", "source", "tokens", "weight", "copies")
+
+
+@dataclass
+class _End:
+    """Where a source's budget ends: a range of keys (both ends inclusive) with its number of documents, the tokens before it and the tokens to be filled."""
+
+    low: float
+    high: float
+    base: int
+    rows: int
+    rest: int
+
+
+def _narrow(docs: DataFrame, ends: dict[str, _End]) -> None:
+    """Narrows every range that holds more than ``EDGE_ROWS`` documents to the block of it in which the budget ends.
+
+    The lowest and the highest key of a range are never in one block, so every turn leaves fewer documents.
+    """
+    while True:
+        wide = {s: e for s, e in ends.items() if e.rows > EDGE_ROWS and e.high > e.low}
+        if not wide:
+            return
+        ranges = docs.sparkSession.createDataFrame([(s, e.low, e.high) for s, e in wide.items()], "source string, _low double, _high double")
+        inside = docs.join(F.broadcast(ranges), "source").where(F.col("_key").between(F.col("_low"), F.col("_high")))
+        # monotone in the key, so a block is a range of keys and its ends are those of its documents
+        block = F.least(F.floor((F.col("_key") - F.col("_low")) / (F.col("_high") - F.col("_low")) * BLOCKS), F.lit(BLOCKS - 1))
+        blocks: dict[str, list] = {}
+        for r in inside.groupBy("source", block.alias("b")).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.min("_key").alias("lo"), F.max("_key").alias("hi")).collect():
+            blocks.setdefault(r["source"], []).append(r)
+        for s, e in wide.items():
+            base = e.base
+            for r in sorted(blocks[s], key=lambda r: r["b"]):
+                if base + r["t"] > e.rest:
+                    break
+                base += r["t"]
+            ends[s] = _End(r["lo"], r["hi"], base, r["n"], e.rest)
 
 
 def mix_shares(plan: DataFrame, targets: DataFrame) -> DataFrame:
