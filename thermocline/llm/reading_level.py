@@ -167,13 +167,16 @@ class ReadingLevel:
                 if free.any():
                     y = np.where(free, one._beliefs(_place(old, half, at, sizes, owner, one.middle_words), old), y)
                 w = np.where(free, one.ungraded_weight * sizes / (sizes + one.middle_words), 1.0)
+                wr, side = w[owner], half[owner].astype(np.int64)
+                cell = side * one.buckets + at
+                # flat positions of the difficulties of step 0; those of the next step lie one table further
+                place, flat = side * (len(STEPS) * one.buckets) + at, now.b.reshape(-1)
                 for i in range(len(STEPS)):
-                    wr, yr = w[owner], y[i][owner]
-                    cell = half[owner] * one.buckets + at
+                    yr = y[i][owner]
                     if begin:
                         up, down = wr, wr * yr
                     else:
-                        theta, p = _best_levels(now.b[half[owner], i, at], yr, owner, len(sizes), one.level_prior)
+                        theta, p = _best_levels(flat.take(place + i * one.buckets), yr, owner, len(sizes), one.level_prior)
                         up, down = wr * p * (1 - p), wr * (yr - p)
                         p = np.clip(p, 1e-12, 1 - 1e-12)
                         total += float((wr * (yr * np.log(p) + (1 - yr) * np.log(1 - p))).sum() - one.level_prior / 2 * (w * theta**2).sum())
@@ -228,22 +231,26 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 def _place(words: Words, half: np.ndarray, at: np.ndarray, sizes: np.ndarray, owner: np.ndarray, middle: float) -> np.ndarray:
     """Level of each document at each step: how much easier its words are than the mean, with ``middle`` neutral words added."""
-    other = 1 - half[owner]
-    return np.stack([np.bincount(owner, words.start[i] - words.b[other, i, at], len(sizes)) / (sizes + middle) for i in range(len(STEPS))])
+    steps, buckets = words.b.shape[1:]
+    place, flat = (1 - half[owner].astype(np.int64)) * (steps * buckets) + at, words.b.reshape(-1)
+    return np.stack([np.bincount(owner, words.start[i] - flat.take(place + i * buckets), len(sizes)) / (sizes + middle) for i in range(len(STEPS))])
 
 
 def _best_levels(b: np.ndarray, y: np.ndarray, owner: np.ndarray, documents: int, precision: float) -> tuple[np.ndarray, np.ndarray]:
     """Level of each document that is likeliest given its words' difficulties, and the probability of each response."""
-    theta = np.zeros(documents)
-    for _ in range(6):
-        p = 1 / (1 + np.exp(-np.clip(theta[owner] - b, -30, 30)))
-        g = np.bincount(owner, y - p, documents) - precision * theta
-        h = np.bincount(owner, p * (1 - p), documents) + precision
-        step = np.clip(g / h, -1, 1)
-        theta = theta + step
-        if not len(step) or np.abs(step).max() < 1e-4:
-            break
-    return theta, 1 / (1 + np.exp(-np.clip(theta[owner] - b, -30, 30)))
+    theta, b = np.zeros(documents), b.astype(np.float32)
+    # where a step is this small, the next one is the square of it
+    small = 1e-3
+    with np.errstate(over="ignore"):
+        for _ in range(6):
+            p = 1 / (1 + np.exp(b - theta.astype(np.float32)[owner]))
+            g = np.bincount(owner, y - p, documents) - precision * theta
+            h = np.bincount(owner, p * (1 - p), documents) + precision
+            step = np.clip(g / h, -1, 1)
+            theta = theta + step
+            if not len(step) or np.abs(step).max() < small:
+                break
+        return theta, (1 / (1 + np.exp(b - theta.astype(np.float32)[owner]))).astype(float)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
