@@ -55,7 +55,9 @@ def precision_scale(type_mod: Column) -> tuple[Column, Column]:
 def canonical_value(text: Column, kind: Column, type_mod: Column) -> Column:
     """Canonical text of ``text`` read as ``kind``; null when it can't be read so.
 
-    Decimals are rounded half up to the scale and must fit the precision.
+    Decimals are rounded half up to the scale and must fit the precision.  Up to 18 places and 20
+    digits before them are read; a value or a type beyond that counts as one that can't be read,
+    so that ingestion keeps its text as it is.
     """
     precision, scale = precision_scale(type_mod)
     places = F.when((scale >= 0) & (scale <= 18), scale).otherwise(F.lit(18))
@@ -64,7 +66,7 @@ def canonical_value(text: Column, kind: Column, type_mod: Column) -> Column:
     digits = F.abs(unscaled).cast("string")
     digits = F.lpad(digits, F.greatest(F.length(digits), places + 1), F.lit("0"))
     whole = F.substr(digits, F.lit(1), F.length(digits) - places)
-    fits = (F.length(F.regexp_replace(whole, "^0+", "")) <= precision - scale) & unscaled.isNotNull()
+    fits = (F.length(F.regexp_replace(whole, "^0+", "")) <= precision - scale) & unscaled.isNotNull() & (scale <= 18)
     fraction = F.when(places > 0, F.concat(F.lit("."), F.right(digits, places))).otherwise(F.lit(""))
     rounded = F.concat(F.when(unscaled < 0, F.lit("-")).otherwise(F.lit("")), whole, fraction)
     return (

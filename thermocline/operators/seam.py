@@ -24,16 +24,14 @@ class NeverCommitted(RuntimeError):
     """A strict read needs a lake snapshot and there is none."""
 
 
-def merge_cold(lake: DataFrame, overlay: DataFrame, pk, columns: list[str], overlay_keys: int | None) -> DataFrame:
-    """Lake rows whose key has no overlay row of any kind, and the overlay's upserts.
+def merge_cold(lake: DataFrame, corrected: DataFrame, upserts: DataFrame, keys: list[str], columns: list[str], overlay_keys: int | None) -> DataFrame:
+    """Lake rows whose key isn't ``corrected`` in any way, and the overlay's ``upserts``.
 
-    ``overlay_keys``: exact number of overlay keys, or None if unknown; the overlay is broadcast
-    only within its bound, beyond it the join shuffles.
+    Keys are compared in their own types.  ``overlay_keys``: bound of the number of corrected keys,
+    or None if unknown; they are broadcast only within a bound, beyond it the join shuffles.
     """
-    keys = overlay.select(F.col("pk").alias("_pk"))
-    small = overlay_keys <= OVERLAY_BROADCAST_KEYS if overlay_keys is not None else bounded(keys)
-    base = lake.withColumn("_key", pk).join(F.broadcast(keys) if small else keys, F.col("_key") == F.col("_pk"), "left_anti").drop("_key")
-    upserts = overlay.where(F.col("op") == 0).select("image.*")
+    small = overlay_keys <= OVERLAY_BROADCAST_KEYS if overlay_keys is not None else bounded(corrected)
+    base = lake.join(F.broadcast(corrected) if small else corrected, keys, "left_anti")
     return base.select(*columns).unionByName(upserts.select(*columns))
 
 
@@ -44,7 +42,9 @@ def cold_rows(t: TieredTable, cut: int, snapshot: int, *, overlay: bool = True,
     n = t.overlay_keys() if overlay else 0
     if not n:
         return lake
-    return merge_cold(lake, t.overlay(), t.pk(), names, n).where(t.cold(cut))
+    segments = t.overlay_segments()
+    upserts = t.overlay(segments).where(F.col("op") == 0).select("image.*").where(t.cold(cut))
+    return merge_cold(lake, t.corrected_keys(segments), upserts, t.keys, names, n)
 
 
 def hot_rows(t: TieredTable, cut: int, low: int | None = None, high: int | None = None) -> DataFrame:

@@ -214,6 +214,16 @@ def p4_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("table_id", "file_id", "row_no", F.to_json("fields", {"ignoreNullFields": "false"}).alias("fields"), F.col(schema_drift.RESCUE).alias("rescued"))
 
 
+def p4_promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent tables after every field that was removed on the way is approved again, under the type it had last: rescued values become typed ones."""
+    columns = table(spark, sf_dir, "relation_columns")
+    ingested = written(schema_drift.rescue_ingest(table(spark, sf_dir, "row_batches"), columns), "ingested")
+    known = schema_drift.announced_schemas(columns).groupBy("table_id", "name").agg(F.max(F.struct("relation_lsn", "column_type", "type_mod")).alias("last")).select("table_id", "name", "last.column_type", "last.type_mod")
+    removed = known.join(schema_drift.target_schemas(columns).select("table_id", "name"), ["table_id", "name"], "left_anti")
+    done = schema_drift.promote(ingested, removed)
+    return done.select("table_id", "file_id", "row_no", F.to_json("fields", {"ignoreNullFields": "false"}).alias("fields"), F.col(schema_drift.RESCUE).alias("rescued"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small files to be merged."""
     files = table(spark, sf_dir, "lake_files")
@@ -254,7 +264,7 @@ def p5_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, made = scratch_path(spark, "small-files"), scratch_path(spark, "merged-files")
     feed.repartition(96, "table_id", "pk").sortWithinPartitions("arrival_seq", "pk").write.parquet(folder)
     listing = consolidate.list_sorted(spark, folder, "arrival_seq")
-    done = consolidate.SortedRunMerger(["arrival_seq", "pk"], made).run(consolidate.merge_orders(listing))
+    done = consolidate.SortedRunMerger(["arrival_seq", "pk"], made).run(consolidate.merge_orders(listing, bytes_per_order=32 << 20))
     if done.isEmpty():
         return feed
     consolidate.check_merge(listing, done)
@@ -280,6 +290,6 @@ SELECT table_id, 'period' AS kind, lo AS tier_key_lo, hi AS tier_key_hi FROM p
 UNION ALL SELECT table_id, 'gap', hi, nxt FROM (SELECT *, lead(lo) OVER (PARTITION BY table_id ORDER BY lo) AS nxt FROM p) WHERE nxt IS NOT NULL
 """
 
-QUERIES = {"p1_found": p1_found, "p1_watermark_state": p1_watermark_state, "p1_transactions": p1_transactions, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_rows": p4_rows, "p5_found": p5_found, "p5_plan": p5_plan, "p5_merged": p5_merged, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_watermark_state": p1_watermark_state, "p1_transactions": p1_transactions, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_rows": p4_rows, "p4_promoted": p4_promoted, "p5_found": p5_found, "p5_plan": p5_plan, "p5_merged": p5_merged, "p6_found": p6_found}
 SQL = {"p1_found": P1_FOUND, "p1_watermark_state": P1_WATERMARK_STATE, "p1_transactions": P1_TRANSACTIONS, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_plan": P5_PLAN, "p5_merged": P5_MERGED, "p6_found": P6_FOUND}
 

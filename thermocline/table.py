@@ -120,6 +120,11 @@ class TieredTable:
             return rows
         return newest_wins(rows)
 
+    def corrected_keys(self, segments: list[str]) -> DataFrame:
+        """Key columns of every correction; a key in several segments comes several times."""
+        rows = self.spark.read.schema(self.overlay_schema()).parquet(*segments) if segments else self.spark.createDataFrame([], self.overlay_schema())
+        return rows.select(*[F.col(f"image.{k}").alias(k) for k in self.keys])
+
     def write_segment(self, changes: DataFrame) -> tuple[str, int]:
         """Writes a segment of corrections, one per key; returns its path and number of rows.  Publishes nothing."""
         path, seen = f"{self.root}/overlay/{uuid.uuid4().hex}", Observation()
