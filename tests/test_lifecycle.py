@@ -319,3 +319,21 @@ def test_large_batches_take_whole_versions(engine, monkeypatch):
     assert rows.count() == 3 and movement._oldest(rows, 2, 3).count() == 3 and movement._oldest(rows, 1, 3).count() == 1
 
 
+def test_statements_as_text(engine):
+    e = engine
+    trips(e)
+    r = e.execute("UPDATE trips SET val = concat(upper(val), '!'), event_time = event_time + 1 WHERE event_time BETWEEN 100 AND 260 OR id = 1 RETURNING *;")
+    assert r.rows == 4 and sorted(tuple(x) for x in r.returning.collect()) == [(1, 11, "A!"), (3, 111, "C!"), (4, 151, "D!"), (5, 251, "E!")]
+    assert e.execute("DELETE FROM trips WHERE val LIKE 'D%' AND event_time < 200").rows == 1
+    assert e.execute("INSERT INTO trips (id, event_time) SELECT id + 10, event_time FROM trips WHERE id <> 1").rows == 3
+    assert e.execute("INSERT INTO trips VALUES (9, 280, 'v')").hot_rows == 1
+    assert state(e) == sorted([(1, 11, "A!"), (2, 20, "b"), (3, 111, "C!"), (5, 251, "E!"), (12, 20, None), (13, 111, None), (15, 251, None), (9, 280, "v")])
+    assert not e.catalog.pinned(e.table("trips").id)
+    before = state(e)
+    for bad in ("SELECT 1", "UPDATE trips SET id = 1", "UPDATE trips SET val = 'a', val = 'b'", "UPDATE trips AS t SET val = 'x'", "DELETE FROM trips WHERE id IN (SELECT 1)", "INSERT OVERWRITE trips VALUES (1, 2, 'x')", "INSERT INTO trips (id, id) VALUES (1, 2)"):
+        with pytest.raises(WriteRejected):
+            e.execute(bad)
+    with pytest.raises(Exception):  # noqa: B017
+        e.execute("UPDATE trips SET val = nope")
+    assert state(e) == before
+    assert e.execute("DELETE FROM trips").rows == 8 and state(e) == []

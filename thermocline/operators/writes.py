@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from urllib.parse import unquote
 
@@ -252,6 +253,67 @@ class Writes:
         if kept is not None:
             p.add_overlay(kept, 0)
 
+    # statements as text ---------------------------------------------------
+
+    def execute(self, text: str) -> WriteResult:
+        """Runs an INSERT, UPDATE or DELETE statement on a registered table, with ``RETURNING *`` at the end if rows are wanted.
+
+        The text is read by Spark's parser.  Refused before any effect: other statements, aliases of
+        the target, conditions or values with a subquery, and columns given twice.
+        """
+        body, returning = re.subn(r"(?is)\s+returning\s+\*\s*$", "", text.strip().rstrip(";").rstrip())
+        plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(body)
+        kind = plan.getClass().getSimpleName()
+        if kind not in ("UpdateTable", "DeleteFromTable", "InsertIntoStatement"):
+            raise WriteRejected(f"{text.split(None, 1)[0].upper()} isn't a change of rows")
+        target = plan.table()
+        if target.getClass().getSimpleName() != "UnresolvedRelation":
+            raise WriteRejected("the target can't have an alias")
+        name = str(target.multipartIdentifier().last())
+        if kind == "InsertIntoStatement":
+            return self._execute_insert(name, plan, body, bool(returning))
+        condition = plan.condition()
+        if kind == "UpdateTable":
+            where = self._plain_sql(condition.get()) if condition.isDefined() else None
+            changes = {}
+            assigned = plan.assignments()
+            for a in (assigned.apply(i) for i in range(assigned.size())):
+                column = str(a.key().nameParts().last())
+                if column in changes:
+                    raise WriteRejected(f"{column} is set twice")
+                changes[column] = self._plain_sql(a.value())
+            return self.update(name, changes, where, returning=bool(returning))
+        where = self._plain_sql(condition)
+        return self.delete(name, None if where == "true" else where, returning=bool(returning))
+
+    def _execute_insert(self, name: str, plan, body: str, returning: bool) -> WriteResult:
+        t = self.table(name)
+        if plan.overwrite():
+            raise WriteRejected("INSERT OVERWRITE isn't a routed write")
+        columns = [str(plan.userSpecifiedCols().apply(i)) for i in range(plan.userSpecifiedCols().size())]
+        views = self.register_views(*self.named_tables(body)) if self.named_tables(body) else None
+        try:
+            rows = DataFrame(self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.spark._jsparkSession, plan.query()), self.spark)
+            columns = columns or t.schema.names[: len(rows.columns)]
+            if len(columns) != len(rows.columns) or len(set(columns)) != len(columns):
+                raise WriteRejected(f"{len(rows.columns)} values for the columns {columns}")
+            return self.insert(name, rows.toDF(*columns), returning=returning)
+        finally:
+            if views is not None:
+                views.close()
+
+    @staticmethod
+    def _plain_sql(expression) -> str:
+        """Text of an expression without subqueries."""
+        nodes = [expression]
+        while nodes:
+            node = nodes.pop()
+            if re.search("Subquery|ListQuery|Exists", node.getClass().getSimpleName()):
+                raise WriteRejected("a subquery can't be routed")
+            children = node.children()
+            nodes += [children.apply(i) for i in range(children.size())]
+        return expression.sql()
+
     # flags ----------------------------------------------------------------
 
     def enable_routed_writes(self, name: str) -> None:

@@ -108,6 +108,18 @@ def upsert_hot_twice(spark, sf_dir):
     raise RuntimeError("an insert of keys that exist was taken")
 
 
+@query(WITH + """, changed AS (SELECT event_id, user_id, CASE WHEN user_id % 7 = 3 THEN value * 2 ELSE value END AS value FROM seam WHERE NOT coalesce(user_id % 5 = 2, false))
+SELECT event_id, value FROM changed UNION ALL SELECT event_id + 30000000, value FROM changed WHERE user_id % 3 = 0""")
+def statements_as_text(spark, sf_dir):
+    """UPDATE, DELETE and INSERT ... SELECT as SQL text over both halves."""
+    e = base(spark, sf_dir)
+    name = clone(e, "events")
+    e.execute(f"UPDATE {name} SET value = value * 2 WHERE user_id % 7 = 3")
+    e.execute(f"DELETE FROM {name} WHERE user_id % 5 = 2")
+    e.execute(f"INSERT INTO {name} SELECT event_id + 30000000, ts, user_id, event_type, value, props FROM {name} WHERE user_id % 3 = 0")
+    return _state(e, name).select("event_id", "value")
+
+
 # writers that meet -----------------------------------------------------------------
 
 _YEAR_EARLIER = "SELECT event_id + 50000000 AS event_id, ts - INTERVAL 365 DAY AS ts, user_id, event_type, value, props FROM events"
