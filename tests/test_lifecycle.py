@@ -319,6 +319,19 @@ def test_large_batches_take_whole_versions(engine, monkeypatch):
     assert rows.count() == 3 and movement._oldest(rows, 2, 3).count() == 3 and movement._oldest(rows, 1, 3).count() == 1
 
 
+def test_a_version_larger_than_a_large_batch_is_split(engine, monkeypatch):
+    e = engine
+    trips(e)
+    e.upsert("trips", frame(e, [(1, 10, "A")]))
+    e.upsert("trips", frame(e, [(i, i, "n") for i in range(10, 30)]))
+    monkeypatch.setattr(movement, "TOP_ROWS", 3)
+    want, left = state(e), []
+    while e.fold("trips", 6):
+        assert state(e) == want
+        left.append([e.table("trips").overlay_keys(), e.table("trips").overlay().where("version = 1").count()])
+    assert left == [[15, 0], [9, 0], [3, 0], [0, 0]]
+
+
 def test_statements_as_text(engine):
     e = engine
     trips(e)

@@ -21,7 +21,7 @@ from thermocline.sources.lake import Snapshot
 from thermocline.table import TieredTable
 
 
-#: Up to so many corrections a fold takes the oldest by a bounded top-k; beyond it takes whole versions.
+#: Up to so many corrections a fold takes the oldest by a bounded top-k; beyond it takes whole versions, and splits those larger than its batch.
 TOP_ROWS = 100_000
 
 
@@ -229,7 +229,7 @@ class Movement:
     # folding --------------------------------------------------------------
 
     def fold(self, name: str, batch: int = 1000, *, merge_on_read: bool = False) -> int | None:
-        """Folds the oldest ``batch`` corrections into the lake; returns the new snapshot, None if pinned or nothing to do.
+        """Folds the oldest ``batch`` corrections into the lake; returns the new snapshot, None if pinned or nothing to do.  A batch beyond ``TOP_ROWS`` takes its last version whole unless that alone is more than a batch.
 
         A correction replaces the row where the lake holds it (its old tier key) and lands at its
         new one.  Exactly the folded keys at their folded versions are cleared: the other rows of a
@@ -473,7 +473,10 @@ def partition_bounds(text: str, t: TieredTable) -> tuple[int, int] | None:
 
 
 def _oldest(rows: DataFrame, batch: int, keys: int) -> DataFrame:
-    """The oldest ``batch`` corrections of at most ``keys``; a large batch ends with the version that reaches it, so that nothing is sorted."""
+    """The oldest ``batch`` corrections of at most ``keys``; a large batch ends with the version that reaches it, so that nothing is sorted.
+
+    A version of more than ``batch`` corrections is split, so that exactly ``batch`` are taken; the number stays below two batches.
+    """
     if batch >= keys:
         return rows
     if batch <= TOP_ROWS:
@@ -481,5 +484,24 @@ def _oldest(rows: DataFrame, batch: int, keys: int) -> DataFrame:
     # one row per write, not per correction
     per = rows.groupBy("version").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.orderBy("version").rowsBetween(Window.unboundedPreceding, -1))
-    last = per.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < batch).agg(F.max("version").alias("_last"))
-    return rows.join(F.broadcast(last), F.col("version") <= F.col("_last"), "left_semi")
+    last = per.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < batch).orderBy(F.desc("version")).first()
+    if last is None:
+        return rows
+    if last["n"] <= batch:
+        return rows.where(F.col("version") <= last["version"])
+    part = _exactly(rows.where(F.col("version") == last["version"]), batch - last["_before"], last["n"])
+    return rows.where(F.col("version") < last["version"]).unionByName(part)
+
+
+def _exactly(rows: DataFrame, take: int, n: int) -> DataFrame:
+    """``take`` of ``n`` corrections, fewer than ``n``: whole hash buckets of their keys, and of the bucket that goes beyond ``take`` a bounded top-k."""
+    buckets = -(-2 * n // max(TOP_ROWS, 1))
+    # n as a seed: what an earlier fold left of the version is spread evenly again
+    at = F.pmod(F.xxhash64("pk", F.lit(n)), F.lit(buckets))
+    sizes = dict(rows.groupBy(at.alias("at")).count().collect())
+    edge, left = 0, take
+    while sizes.get(edge, 0) <= left:
+        left -= sizes.get(edge, 0)
+        edge += 1
+    whole = rows.where(at < edge)
+    return whole.unionByName(rows.where(at == edge).orderBy("pk").limit(left)) if left else whole
